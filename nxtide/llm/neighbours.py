@@ -15,9 +15,9 @@ from pyspark.sql import Window as W
 from nxtide.llm.common import save
 
 #: Vectors that the tree is fitted to and calibrated with at most, children of a node, vectors of the sample in a leaf, and the recall to reach.
-SAMPLE, PROBES, BRANCH, LEAF, RECALL = 16384, 256, 12, 96, 0.97
+SAMPLE, PROBES, BRANCH, LEAF, RECALL = 16384, 256, 8, 384, 0.95
 #: Vectors in a block of a leaf, and queries in a block, that are scored together.
-BLOCK, QUERIES = 1024, 256
+BLOCK, QUERIES = 1024, 1024
 
 
 @dataclass
@@ -100,15 +100,15 @@ def products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (rows * q).sum(axis=1)
 
 
-def _top(q: np.ndarray, ids: np.ndarray, rows: np.ndarray, rough: np.ndarray, own, k: int) -> list[dict]:
-    """The k best of rows for q but for `own`; rough: products that may be off in their last digits."""
+def _top(q: np.ndarray, ids: np.ndarray, rows: np.ndarray, rough: np.ndarray, own, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and products of the k best of rows for q but for `own`; rough: products that may be off in their last digits."""
     other = np.flatnonzero(ids != own)
     if len(other) > k:
         least = np.partition(rough[other], len(other) - k)[len(other) - k]
         other = other[rough[other] >= least - 1e-9 * (1 + abs(least))]
     exact = products(q, rows[other])
     best = np.lexsort((ids[other], -exact))[:k]
-    return [{"vec_id": int(ids[other][i]), "score": float(exact[i])} for i in best]
+    return other[best], exact[best]
 
 
 @dataclass
@@ -130,9 +130,9 @@ class NearestIndex:
         vectors, is reached: each true neighbour's leaf has a place in the order of leaves.
         """
         spark = vectors.sparkSession
-        doubles = F.transform("embedding", lambda x: x.cast("double"))
+        kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
         fit = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-        valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), doubles.alias("v")).filter("vec_id is not null and v is not null").filter(fit)
+        valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v")).filter("vec_id is not null and v is not null").filter(fit)
         width = valid.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
         if width is None:
             return cls(Tree([], [], 1), 1, valid.withColumn("leaf", F.lit(0).cast("long")), 1.0)
@@ -145,7 +145,7 @@ class NearestIndex:
             for f in frames:
                 yield f.assign(leaf=sent.value.leaf_of(_matrix(f["v"])) if len(f) else 0)
 
-        held = save(valid.mapInPandas(assign, "vec_id long, v array<double>, leaf long"))
+        held = save(valid.mapInPandas(assign, f"vec_id long, v {kind}, leaf long"))
         queries = drawn.head(probes)
         q, own = _matrix(queries["v"]), queries["vec_id"].to_numpy()
         asked = spark.sparkContext.broadcast((q, own))
@@ -153,11 +153,13 @@ class NearestIndex:
         def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             q, own = asked.value
             for f in frames:
-                x, ids, leaf = _matrix(f["v"]), f["vec_id"].to_numpy(), dict(zip(f["vec_id"], f["leaf"]))
-                rough = q @ x.T if len(f) else None
-                for i in range(len(q) if len(f) else 0):
-                    best = _top(q[i], ids, x, rough[i], own[i], k)
-                    yield pd.DataFrame({"probe": i, "score": [b["score"] for b in best], "vec_id": [b["vec_id"] for b in best], "leaf": [leaf[b["vec_id"]] for b in best]})
+                if not len(f):
+                    continue
+                x, ids, leaf = _matrix(f["v"]), f["vec_id"].to_numpy(), f["leaf"].to_numpy()
+                rough = q @ x.T
+                found = [_top(q[i], ids, x, rough[i], own[i], k) for i in range(len(q))]
+                at = np.concatenate([a for a, _ in found])
+                yield pd.DataFrame({"probe": np.repeat(np.arange(len(q)), [len(a) for a, _ in found]), "score": np.concatenate([b for _, b in found]), "vec_id": ids[at], "leaf": leaf[at]})
 
         rank = F.row_number().over(W.partitionBy("probe").orderBy(F.desc("score"), "vec_id"))
         true = held.mapInPandas(exact, "probe int, score double, vec_id long, leaf long").withColumn("r", rank).filter(F.col("r") <= k).select("probe", "leaf").toPandas()
@@ -183,21 +185,33 @@ class NearestIndex:
         def bins(column: pd.Series) -> pd.Series:
             return pd.Series([sent.value.best_bins(np.asarray(v, np.float64), visits) for v in column])
 
-        @F.pandas_udf("array<struct<query_id: long, vec_id: long, score: double>>")
-        def scored(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            for asked, held in frames:
+        @F.pandas_udf("struct<query_id: array<long>, vec_id: array<long>, score: array<double>>")
+        def scored(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            for batch in frames:
                 out = []
-                for qs, vs in zip(asked, held):
-                    q, x = (np.stack([np.asarray(r["v"], np.float64) for r in s]) for s in (qs, vs))
-                    ids, rough = np.array([r["vec_id"] for r in vs]), q @ x.T
-                    out.append([{"query_id": qs[i]["vec_id"], **b} for i in range(len(q)) for b in _top(q[i], ids, x, rough[i], qs[i]["vec_id"], k)])
-                yield pd.Series(out)
-
-        sizes = self.vectors.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-        blocks = self.vectors.join(F.broadcast(sizes), "leaf").groupBy("leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("held")).drop("block")
-        asked = queries.select("vec_id", "v", F.explode(bins("v")).alias("leaf"))
-        per_leaf = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
-        groups = asked.join(F.broadcast(per_leaf), "leaf").groupBy("leaf", F.pmod(F.xxhash64("vec_id", F.lit("q")), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("vec_id", "v")).alias("asked")).drop("part")
-        found = groups.join(blocks, "leaf").select(F.explode(scored("asked", "held")).alias("f")).select("f.*")
+                for qids, qs, ids, xs in zip(*batch):
+                    q, x = (np.asarray(m, np.float64).reshape(len(i), -1) for i, m in ((qids, qs), (ids, xs)))
+                    rough = q @ x.T
+                    found = [_top(q[i], ids, x, rough[i], qids[i], k) for i in range(len(q))]
+                    out.append((np.repeat(qids, [len(a) for a, _ in found]), ids[np.concatenate([a for a, _ in found])], np.concatenate([b for _, b in found])))
+                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+        def packed(rows: DataFrame, most: int, salt: str, ids: str, matrix: str) -> DataFrame:
+            sizes = rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts"))  # a row for each leaf of a tree of bounded size
+            part = F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col("_parts"))
+            parts = rows.join(F.broadcast(sizes), "leaf").groupBy("leaf", part.alias("_part")).agg(F.collect_list(F.struct("vec_id", "v")).alias("_rows"))
+            return parts.select("leaf", F.col("_rows.vec_id").alias(ids), F.flatten("_rows.v").alias(matrix))
+
+        asked = save(queries.select("vec_id", "v", F.explode(bins("v")).alias("leaf")))
+        pairs = packed(asked, QUERIES, "queries", "qids", "qs").join(packed(self.vectors, BLOCK, "rows", "ids", "xs"), "leaf")
+        found = pairs.select(scored("qids", "qs", "ids", "xs").alias("f")).select(F.explode(F.arrays_zip("f.query_id", "f.vec_id", "f.score")).alias("z")).select("z.query_id", "z.vec_id", "z.score")
+        # a pair of blocks is a row of about a megabyte, so few of them may be in a batch
+        conf, batch = queries.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        usual = conf.get(batch)
+        conf.set(batch, "32")
+        try:
+            found = save(found)
+        finally:
+            conf.set(batch, usual)
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
