@@ -90,7 +90,9 @@ def line_key(line: Column) -> Column:
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, text_id, pos, h1, h2) of each line whose key is long enough; h1 and h2 stand for the key, with 128 bits."""
     text = text_of(F.col("text"))
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).filter("doc_id is not null")
+    # the hash comes before the lines, or else each line would carry its text along
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), F.split(text, "\n", -1).alias("lines")).filter("doc_id is not null")
+    lines = split.select("doc_id", "text_id", F.posexplode_outer("lines").alias("pos", "line"))
     keyed = lines.select("doc_id", "text_id", "pos", line_key(F.col("line")).alias("k")).filter(F.length("k") >= min_chars)
     return keyed.select("doc_id", "text_id", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("second"), "k").alias("h2"))
 
@@ -165,17 +167,19 @@ class LineIndex:
         if size <= self.send_bytes:
             sent = lines.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in self.filters.collect()})
 
-            @F.pandas_udf("boolean")
-            def held(shard: pd.Series, h1: pd.Series) -> pd.Series:
-                out = np.zeros(len(h1), bool)
-                shards, hashes = shard.to_numpy(), h1.to_numpy(np.int64)
-                for s in np.unique(shards).tolist():
-                    if s in sent.value:
-                        at = shards == s
-                        out[at] = Cuckoo.read(sent.value[s]).holds(hashes[at])
-                return pd.Series(out)
-
-            return lines.filter(held("shard", "h1")).drop("shard")
+            def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                filters = {s: Cuckoo.read(data) for s, data in sent.value.items()}
+                for f in frames:
+                    shards, hashes = f["shard"].to_numpy(), f["h1"].to_numpy(np.int64)
+                    out = np.zeros(len(f), bool)
+                    for s in np.unique(shards).tolist():
+                        if s in filters:
+                            at = shards == s
+                            out[at] = filters[s].holds(hashes[at])
+                    yield f[out].drop(columns="shard")
+
+            # not a UDF in a filter: that would be pushed down to where rows still have their lines
+            return lines.mapInPandas(held, ", ".join(f"{c} {t}" for c, t in lines.drop("shard").dtypes))
         # each filter goes ahead of the lines of its shard and salt
         kinds = dict(lines.dtypes)
         ahead = self.filters.select(*(F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c != "shard"), "shard", "data", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
