@@ -36,7 +36,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document that is left, and whether they decode to its text."""
-    return sentencepieces.encode(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model")).drop("text")
+    return sentencepieces.encode(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
 
 
 STAGES = [

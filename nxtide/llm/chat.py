@@ -104,7 +104,7 @@ def _digest(tokenizer: Tokenizer, ids: np.ndarray, mask: np.ndarray) -> tuple[st
     edges = [0, *(x for i in np.flatnonzero(ids >= OPEN).tolist() for x in (i, i + 1)), len(ids)]
     spans = [(a, b) for a, b in zip(edges, edges[1:])]
     texts = tokenizer.decode_batch([[] if b - a == 1 and ids[a] >= OPEN else ids[a:b].tolist() for a, b in spans], skip_special_tokens=False)
-    turns, loss, chars, at = hashlib.sha256(), [], 0, OPEN
+    turns, loss, chars, at = hashlib.sha256(), [], 0, CLOSE
     for (a, b), text in zip(spans, texts):
         if b - a == 1 and ids[a] >= OPEN:
             at = int(ids[a])

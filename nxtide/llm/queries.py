@@ -23,7 +23,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentencepieces.encode(docs, tokenizer_path("piece_bpe_32k.model")).drop("text")
+    return sentencepieces.encode(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

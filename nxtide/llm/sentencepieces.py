@@ -8,8 +8,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer, decoders, models, normalizers
 
 from nxtide.llm.common import slices, text_of
@@ -19,7 +22,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 SPACE = "▁"
 #: Code points that the tokenizer gets at a time.
-CHARS = 1 << 20
+CHARS = 1 << 19
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -118,25 +121,34 @@ def decode_ids(tokenizer: Tokenizer, ids: list) -> list[str]:
     return [x for a, b in slices(map(len, ids), CHARS) for x in tokenizer.decode_batch([list(map(int, i)) for i in ids[a:b]], skip_special_tokens=False)]
 
 
-def encode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
-    """docs with `ids`, `n_tokens` and, if asked for, `decoded`: whether the ids decode to the text again.
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """docs without `text`, with `ids`, `n_tokens` and `decoded`: whether the ids decode to the text again.
 
     path: a model file that each executor has at the same place. Null and empty texts have
     no ids. No begin, end or special ids are added; control strings in a text are text. Each
-    row is encoded on its own, whole, so repeated and very long texts need nothing special.
+    row is encoded on its own, whole, so repeated and very long texts need nothing special; a
+    task holds the ids of about CHARS code points, or of one text. Columns of docs with the
+    names of new ones are replaced.
     """
+    new = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("decoded", "boolean")
+    kept = [c for c in docs.columns if c not in ("text", *new.names)]
 
-    @F.pandas_udf("struct<ids: array<int>, n_tokens: long, decoded: boolean>")
-    def pieces(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = loaded(path)
-        for column in frames:
-            texts = column.tolist()
-            ids = list(encode_texts(tokenizer, texts))
-            same = [a == b for a, b in zip(decode_ids(tokenizer, ids), texts)] if check else [None] * len(texts)
-            yield pd.DataFrame({"ids": ids, "n_tokens": [len(i) for i in ids], "decoded": same})
-
-    out = docs.withColumn("_pieces", pieces(text_of(F.col("text"))))
-    return out.select(*docs.columns, "_pieces.ids", "_pieces.n_tokens", *(["_pieces.decoded"] if check else []))
+        for batch in batches:
+            column = batch.column("_text")
+            for a, b in slices(pc.utf8_length(column).to_pylist(), CHARS):
+                texts = column.slice(a, b - a).to_pylist()
+                ids = list(encode_texts(tokenizer, texts))
+                sizes = np.array([len(i) for i in ids])
+                values = pa.array(np.concatenate(ids).astype(np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+                same = [x == y for x, y in zip(decode_ids(tokenizer, ids), texts)]
+                rest = [batch.column(c).slice(a, b - a) for c in kept]
+                yield pa.RecordBatch.from_arrays([*rest, lists, pa.array(sizes.astype(np.int64)), pa.array(same)], names=[*kept, *new.names])
+
+    rows = docs.select(*kept, text_of(F.col("text")).alias("_text"))
+    return rows.mapInArrow(pieces, T.StructType([docs.schema[c] for c in kept] + new.fields))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
