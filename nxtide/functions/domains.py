@@ -25,7 +25,7 @@ def without_suffix(name: Column, suffix: Column) -> Column:
 
 def base_domain(name: Column, suffix: Column) -> Column:
     """The suffix with one more label; the name where there is none."""
-    return F.when(suffix.isNull(), name).otherwise(F.substring_index(name, ".", -1 - label_count(suffix)))
+    return F.when(suffix.isNull(), name).otherwise(F.call_function("substring_index", name, F.lit("."), -1 - label_count(suffix)))
 
 
 def last_labels(name: Column, count: int) -> Column:

@@ -157,7 +157,7 @@ def joi14_sliding_alignment(spark, d):
     return dealt.join(s.select(F.col("slot").alias("start")), "start", "left_semi").groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.sum("pn").alias("pn"))
 
 
-@query("WITH RECURSIVE p(k, up) AS (SELECT r_regionkey + 100, NULL FROM region UNION ALL SELECT n_nationkey, n_regionkey + 100 FROM nation), t(k, root, depth) AS (SELECT k, k, 0 FROM p WHERE up IS NULL UNION ALL SELECT p.k, t.root, t.depth + 1 FROM p JOIN t ON p.up = t.k) SELECT root, count(*) AS n, max(depth) AS depth FROM t GROUP BY root")
+@query("WITH RECURSIVE p(k, up) AS (SELECT r_regionkey + 100, CAST(NULL AS INTEGER) FROM region UNION ALL SELECT n_nationkey, n_regionkey + 100 FROM nation), t(k, root, depth) AS (SELECT k, k, 0 FROM p WHERE up IS NULL UNION ALL SELECT p.k, t.root, t.depth + 1 FROM p JOIN t ON p.up = t.k) SELECT root, count(*) AS n, max(depth) AS depth FROM t GROUP BY root")
 def joi17_hierarchy(spark, d):
     table(spark, d, "region").createOrReplaceTempView("nx_region")
     table(spark, d, "nation").createOrReplaceTempView("nx_nation")
@@ -463,7 +463,7 @@ def mth4_cuts(spark, d):
     return c.crossJoin(breaks).select("c_custkey", (F.ceil((v + 1000) / 500) - 1).alias("right_closed"), F.when(v <= F.col("q")[0], 0).when(v <= F.col("q")[1], 1).when(v <= F.col("q")[2], 2).otherwise(3).alias("quartile"))
 
 
-@query("SELECT n_nationkey, list_position(['no-malware', 'non-dga', 'dga'], CASE n_regionkey % 3 WHEN 0 THEN 'no-malware' WHEN 1 THEN 'non-dga' ELSE 'dga' END) - 1 AS ordinal FROM nation")
+@query("SELECT n_nationkey, CAST(list_position(['no-malware', 'non-dga', 'dga'], CASE n_regionkey % 3 WHEN 0 THEN 'no-malware' WHEN 1 THEN 'non-dga' ELSE 'dga' END) - 1 AS BIGINT) AS ordinal FROM nation")
 def arr1_enum_ordinal(spark, d):
     kinds = F.array(F.lit("no-malware"), F.lit("non-dga"), F.lit("dga"))
     k = F.element_at(kinds, (F.col("n_regionkey") % 3 + 1).cast("int"))
