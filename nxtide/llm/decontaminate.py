@@ -50,7 +50,7 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, segments: int
     named = items.select("item_id", words_of(F.col("text")).alias("iw")).filter("size(iw) > 0").withColumn("n_item", F.size("iw")).withColumn("width", F.least("n_item", F.lit(SHINGLE)))
     widths = sorted(r[0] for r in named.select("width").distinct().collect())  # five at most
     if not widths:
-        return docs.sparkSession.createDataFrame([], docs.select("doc_id").schema.add(items.schema["item_id"]).add("start_word", "int").add("n_words", "int").add("distance", "int").add("similarity", "double"))
+        return docs.sparkSession.createDataFrame([], docs.select("doc_id").schema.add(items.schema["item_id"]).add("start_word", "integer").add("n_words", "integer").add("distance", "integer").add("similarity", "double"))
     texts = docs.select("doc_id", words_of(F.col("text")).alias("ws"))
     windows, wanted = [], []
     for width in widths:

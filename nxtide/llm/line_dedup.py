@@ -180,9 +180,9 @@ class LineIndex:
 
             # not a UDF in a filter: that would be pushed down to where rows still have their lines
             return lines.mapInPandas(held, ", ".join(f"{c} {t}" for c, t in lines.drop("shard").dtypes))
-        # each filter goes ahead of the lines of its shard and salt
+        # each filter goes ahead of the lines of its shard and salt; with zeros, as nulls would make the hashes floats
         kinds = dict(lines.dtypes)
-        ahead = self.filters.select(*(F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c != "shard"), "shard", "data", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        ahead = self.filters.select(*(F.lit(0).cast(t).alias(c) for c, t in kinds.items() if c != "shard"), "shard", "data", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         both = lines.withColumn("data", F.lit(None).cast("binary")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).unionByName(ahead)
         dealt = both.repartition(self.shards * SALTS, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("data").isNull())
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from nxtide.llm.common import text_of
 
 #: Labelled rows of each class that the model is fitted to at most, and the features that it has at most.
-SAMPLE, FEATURES = 4000, 4096
+SAMPLE, FEATURES = 4000, 1024
+#: What a feature's log-likelihood ratio is at least: one in a million of those that tell nothing reaches it.
+EVIDENCE = 24.0
 #: Severity grades: 0 clean, then 1 to GRADES - 1.
 GRADES = 4
 PREFIXES = (3, 4, 5, 6, 7)
@@ -51,8 +53,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
     """Fits to at most `sample` labelled documents of each class, those with the least hashes of their doc_id.
 
     docs: (doc_id, text); labels: (doc_id, toxic 0/1). Rows with nulls, and labels without a
-    document, take no part. Features are those that tell the classes apart best, by how
-    many documents have them. Clean documents have grade 0. The labels don't grade toxic
+    document, take no part. Features are those that tell the classes apart best, by the
+    log-likelihood ratio of how many documents of each have them. If the sample has a larger
+    share of one class than of the other, the cuts are moved to make up for it. Clean documents have grade 0. The labels don't grade toxic
     ones: their grade is the third that the number of toxic features among theirs falls in.
     Without both classes the model finds everything clean.
     """
@@ -74,8 +77,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
         clean, toxic = sizes[0], sizes[1]
         counts = rows.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
         odds = F.log(((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1)))
-        gain = F.abs(odds) * F.sqrt(F.greatest(F.col("t") / toxic, F.col("c") / clean))
-        best = counts.filter("t + c >= 3").select("f", odds.alias("odds"), gain.alias("gain")).orderBy(F.desc("gain"), "f").limit(most).collect()
+        have = F.col("t") + F.col("c")
+        term = lambda n, share: F.when(n > 0, n * F.log(n / share)).otherwise(0.0)
+        cells = [(F.col("t"), toxic, have), (F.col("c"), clean, have), (toxic - F.col("t"), toxic, toxic + clean - have), (clean - F.col("c"), clean, toxic + clean - have)]
+        ratio = 2 * sum((term(n, size * all_ / (toxic + clean)) for n, size, all_ in cells), F.lit(0.0))
+        best = counts.select("f", odds.alias("odds"), ratio.alias("ratio")).filter(F.col("ratio") >= EVIDENCE).orderBy(F.desc(F.round("ratio", 6)), "f").limit(most).collect()
         names = {r["f"]: i for i, r in enumerate(best)}
         pro = np.array([r["odds"] > 1 for r in best] or [False])
         chosen = F.broadcast(rows.sparkSession.createDataFrame([(r["f"], i) for i, r in enumerate(best)] or [("", -1)], "f string, i int"))
@@ -89,10 +95,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
     edges = np.quantile(signs[y == 1], [1 / 3, 2 / 3])
     grade = np.where(y == 0, 0, 1 + np.searchsorted(edges, signs, side="left"))
     weights, cuts = _fit_cumulative(lists, grade, len(best))
+    known = dict(marked.filter(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect())
+    cuts = [float(c + np.log((toxic / known[1]) / (clean / known[0]))) for c in cuts]
     return Severity({f: float(weights[i]) for f, i in names.items() if weights[i]}, cuts)
 
 
-def _fit_cumulative(rows: list[np.ndarray], grade: np.ndarray, n: int, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, list[float]]:
+def _fit_cumulative(rows: list[np.ndarray], grade: np.ndarray, n: int, steps: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> tuple[np.ndarray, list[float]]:
     """Maximum likelihood by Adam. Cuts stay in order as their gaps are exponentials."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows) if rows else np.empty(0, np.int64)
