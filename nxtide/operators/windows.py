@@ -131,3 +131,14 @@ def window_logits(messages: DataFrame, size: int = 50, model: int = 1) -> DataFr
     """(pcap_id, wnum, llr): the sum of logits of a window's distinct names."""
     names = messages.withColumn("wnum", F.expr(f"fn_req div {size}")).groupBy("pcap_id", "wnum", "dn_id").agg(F.max(f"eps{model}").alias("eps"))
     return names.groupBy("pcap_id", "wnum").agg(F.sum(logit(F.col("eps"), NINF, PINF)).alias("llr"))
+
+
+def zone_counts(messages: DataFrame, by: tuple, model: int) -> DataFrame:
+    """Messages in each zone of a model's score, as columns named zone_<lower bound>."""
+    return messages.groupBy(*by).agg(*(F.count_if(zone(F.col(f"eps{model}")) == i).alias(f"zone_{ZONES[i]}") for i in range(len(ZONES) - 1)))
+
+
+def over_zones(threshold: float, above: bool) -> Column:
+    """The sum of the columns of zone_counts() at or above a threshold that is one of the bounds, or of those below it."""
+    chosen = [F.col(f"`zone_{b}`") for b in ZONES[:-1] if (b >= threshold) == above]
+    return reduce(lambda a, b: a + b, chosen)
