@@ -71,14 +71,13 @@ def probe_keys(df: DataFrame, segments: int, radius: int) -> DataFrame:
     Of two segment values that differ, only that with a 0 in the lowest differing bit
     probes for the other one, so each pair meets once in a segment. Two fingerprints
     within the radius have a segment in which at most radius // segments bits differ.
-    `same` marks probes for the segment's own value.
     """
     parts = []
     for i, (o, w) in enumerate(segments_of(64, segments)):
         masks = ",".join(f"{m}L" for m in balls(w, radius // segments))
         value = segment_value("fp", o, w)
-        parts.append(f"transform(filter(array({masks}), m -> (({value}) & m & (-m)) = 0), m -> struct(({i}L << 40) | (({value}) ^ m) as key, m = 0 as same))")
-    return df.withColumn("p", F.explode_outer(F.expr(f"concat({', '.join(parts)})"))).select("*", "p.key", "p.same").drop("p")
+        parts.append(f"transform(filter(array({masks}), m -> (({value}) & m & (-m)) = 0), m -> ({i}L << 40) | (({value}) ^ m))")
+    return df.withColumn("key", F.explode_outer(F.expr(f"concat({', '.join(parts)})")))
 
 
 def pairs_within(nodes: DataFrame, radius: int, segments: int, where: str = "true") -> DataFrame:
@@ -86,9 +85,11 @@ def pairs_within(nodes: DataFrame, radius: int, segments: int, where: str = "tru
 
     where: a condition on p and t, the two nodes of a pair, for pairs that need not be made.
     The distance and the condition are part of the join, so what fails them is never a row.
+    A probe for a segment's own value makes a pair in one order only.
     """
     p, t = probe_keys(nodes, segments, radius).alias("p"), index_keys(nodes, segments).alias("t")
-    near = F.expr(f"p.key = t.key and bit_count(p.fp ^ t.fp) <= {radius} and (not p.same or p.node < t.node) and ({where})")
+    apart = " ".join(f"when {i}L then ({segment_value('(p.fp ^ t.fp)', o, w)}) <> 0" for i, (o, w) in enumerate(segments_of(64, segments)))
+    near = F.expr(f"p.key = t.key and bit_count(p.fp ^ t.fp) <= {radius} and (p.node < t.node or case shiftright(p.key, 40) {apart} end) and ({where})")
     return p.join(t, near).select(F.least("p.node", "t.node").alias("a"), F.greatest("p.node", "t.node").alias("b")).distinct()
 
 
