@@ -190,10 +190,10 @@ def dat2_coerced_dates(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.try_to_timestamp(x, F.lit("yyyy-MM-dd HH:mm:ss")).isNull().alias("bad"))
 
 
-@query("SELECT c_custkey, round(c_acctbal / 100, 1) AS r, CAST(ceil(c_acctbal / 100) AS BIGINT) AS up, greatest(least(c_acctbal, 5000), 0) AS clipped FROM customer")
+@query("SELECT c_custkey, round(c_acctbal / 100, 1) + 0.0 AS r, CAST(ceil(c_acctbal / 100) AS BIGINT) AS up, greatest(least(c_acctbal, 5000), 0) AS clipped FROM customer")
 def mth9_round_and_clip(spark, d):
     v = F.col("c_acctbal")
-    return table(spark, d, "customer").select("c_custkey", F.round(v / 100, 1).alias("r"), F.ceil(v / 100).alias("up"), F.greatest(F.least(v, F.lit(5000.0)), F.lit(0.0)).alias("clipped"))
+    return table(spark, d, "customer").select("c_custkey", (F.round(v / 100, 1) + 0.0).alias("r"), F.ceil(v / 100).alias("up"), F.greatest(F.least(v, F.lit(5000.0)), F.lit(0.0)).alias("clipped"))
 
 
 @query(f"WITH {SERIES} SELECT pcap_id, coalesce(list(pn ORDER BY slot) FILTER (WHERE pn > 5), []) AS busy, list(pn ORDER BY slot)[pcap_id + 1] AS picked FROM hs GROUP BY pcap_id")
