@@ -140,9 +140,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, pa
     def described(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            hashes = shingle_hashes(t, width)
+            distinct = np.unique(shingle_hashes(t, width))  # as similar() compares: sets, whatever recurs how often
             words = b" ".join(t.encode().lower().split())
-            out.append((fingerprint(hashes), len(np.unique(hashes)), *(xxhash.xxh64_intdigest(words, seed) - (1 << 63) for seed in (1, 2))))
+            out.append((fingerprint(distinct), len(distinct), *(xxhash.xxh64_intdigest(words, seed) - (1 << 63) for seed in (1, 2))))
         return pd.DataFrame(out, columns=["fp", "size", "h1", "h2"]).astype({"fp": "int64", "size": "int32", "h1": "int64", "h2": "int64"})
 
     @F.pandas_udf("boolean")

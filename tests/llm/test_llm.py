@@ -353,6 +353,17 @@ def test_near_duplicates_leave_one_of_each_group(spark):
     assert simhash.keep_one(none, simhash.near_duplicates(none)).count() == 0
 
 
+def test_near_duplicates_with_other_repeats(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(6):
+        body, line = (" ".join(f"{c}{i}x{rng.randrange(10**6)}" for _ in range(n)) for c, n in (("b", 300), ("l", 20)))
+        rows += [(2 * i, f"{body} {line}"), (2 * i + 1, " ".join([body, *[line] * (10, 40)[i % 2]]))]
+    assert all(simhash.similar(rows[2 * i][1], rows[2 * i + 1][1], 5) > 0.98 for i in range(6))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["group_id"]) for r in got) == [(k, k // 2 * 2) for k in range(12)]
+
+
 def test_simhash_of_odd_rows(spark, odd):
     out = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.fingerprint_components(odd).collect()}
     assert out[(1, 0)] == out[(2, 0)] == out[(3, 0)] == 1
