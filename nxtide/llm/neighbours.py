@@ -63,15 +63,19 @@ class Tree:
                     todo.append((child, mine))
         return out
 
-    def best_bins(self, q: np.ndarray, most: int) -> list[int]:
-        """Up to `most` leaves, best first: a queue holds all branches not yet taken, by the product of q with their centres."""
+    def best_bins(self, q: np.ndarray, visits: int, counts: np.ndarray, least: int) -> list[int]:
+        """Leaves, best first: `visits` of them, and on until they hold `least` vectors by counts, or there are no more.
+
+        A queue holds all branches not yet taken, by the product of q with their centres.
+        """
         if not self.centres:
             return [0]
-        queue, out, serial = [(0.0, 0, 0)], [], 0
-        while queue and len(out) < most:
+        queue, out, serial, held = [(0.0, 0, 0)], [], 0, 0
+        while queue and (len(out) < visits or held < least):
             _, _, node = heapq.heappop(queue)
             if node < 0:
                 out.append(-1 - node)
+                held += counts[-1 - node]
                 continue
             for s, child in zip((self.centres[node] @ q).tolist(), self.children[node]):
                 serial += 1
@@ -113,12 +117,13 @@ def _top(q: np.ndarray, ids: np.ndarray, rows: np.ndarray, rough: np.ndarray, ow
 
 @dataclass
 class NearestIndex:
-    """A tree, the number of leaves that a search visits, and all vectors (vec_id, v, leaf)."""
+    """A tree, the number of leaves that a search visits at least, all vectors (vec_id, v, leaf), and their number in each leaf."""
 
     tree: Tree
     visits: int
     vectors: DataFrame
     recall: float
+    counts: np.ndarray
 
     @classmethod
     def build(cls, vectors: DataFrame, k: int = 20, recall: float = RECALL, sample: int = SAMPLE, probes: int = PROBES) -> NearestIndex:
@@ -128,6 +133,7 @@ class NearestIndex:
         commonest length (ties: the longer) take no part, nor do null ids. Visits are widened
         until the mean recall over `probes` sampled queries, against exact search over all
         vectors, is reached: each true neighbour's leaf has a place in the order of leaves.
+        The probes are none of the vectors that the tree is fitted to, if there are two or more.
         """
         spark = vectors.sparkSession
         kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
@@ -135,10 +141,11 @@ class NearestIndex:
         valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v")).filter("vec_id is not null and v is not null").filter(fit)
         width = valid.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
         if width is None:
-            return cls(Tree([], [], 1), 1, valid.withColumn("leaf", F.lit(0).cast("long")), 1.0)
+            return cls(Tree([], [], 1), 1, valid.withColumn("leaf", F.lit(0).cast("long")), 1.0, np.zeros(1, np.int64))
         valid = valid.filter(F.size("v") == width["n"])
-        drawn = valid.orderBy(F.xxhash64("vec_id", F.lit("tree")), "vec_id").limit(sample).toPandas()
-        tree = Tree.fit(_matrix(drawn["v"]))
+        drawn = valid.orderBy(F.xxhash64("vec_id", F.lit("tree")), "vec_id").limit(sample + probes).toPandas()
+        apart = min(probes, len(drawn) // 2)
+        tree = Tree.fit(_matrix(drawn["v"][apart:]))
         sent = spark.sparkContext.broadcast(tree)
 
         def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +153,10 @@ class NearestIndex:
                 yield f.assign(leaf=sent.value.leaf_of(_matrix(f["v"])) if len(f) else 0)
 
         held = save(valid.mapInPandas(assign, f"vec_id long, v {kind}, leaf long"))
-        queries = drawn.head(probes)
+        counts = np.zeros(tree.leaves, np.int64)
+        for row in held.groupBy("leaf").count().collect():  # a row for each leaf of a tree of bounded size
+            counts[row["leaf"]] = row["count"]
+        queries = drawn.head(max(1, apart))
         q, own = _matrix(queries["v"]), queries["vec_id"].to_numpy()
         asked = spark.sparkContext.broadcast((q, own))
 
@@ -165,25 +175,28 @@ class NearestIndex:
         true = held.mapInPandas(exact, "probe int, score double, vec_id long, leaf long").withColumn("r", rank).filter(F.col("r") <= k).select("probe", "leaf").toPandas()
         places = np.full((len(q), tree.leaves), tree.leaves)
         for i in range(len(q)):
-            order = tree.best_bins(q[i], tree.leaves)
+            order = tree.best_bins(q[i], tree.leaves, counts, 0)
             places[i, order] = np.arange(len(order))
         at = np.sort(places[true["probe"].to_numpy(int), true["leaf"].to_numpy(int)])
         need = int(np.ceil(recall * len(at)))
         visits = int(at[need - 1]) + 1 if len(at) else 1
-        return cls(tree, visits, held, float((at < visits).mean()) if len(at) else 1.0)
+        return cls(tree, visits, held, float((at < visits).mean()) if len(at) else 1.0, counts)
 
     def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
-        """(query_id, rank, vec_id, score): the k nearest found of each of queries (vec_id, v), other than itself.
+        """(query_id, rank, vec_id, score): the k nearest found of each of queries (vec_id, v), other than itself; fewer only if there are fewer.
+
+        A query goes on beyond `visits` leaves until they hold k vectors and as many as have its id.
 
         A leaf's vectors are dealt into blocks by a hash of their ids, about BLOCK of them in
         each, and the queries that visit it likewise, so a leaf that holds many of all vectors
         is many rows. Each pair of blocks gives at most k rows for a query.
         """
-        sent, visits = queries.sparkSession.sparkContext.broadcast(self.tree), self.visits
+        sent, visits = queries.sparkSession.sparkContext.broadcast((self.tree, self.counts)), self.visits
 
         @F.pandas_udf("array<long>")
-        def bins(column: pd.Series) -> pd.Series:
-            return pd.Series([sent.value.best_bins(np.asarray(v, np.float64), visits) for v in column])
+        def bins(column: pd.Series, own: pd.Series) -> pd.Series:
+            tree, counts = sent.value
+            return pd.Series([tree.best_bins(np.asarray(v, np.float64), visits, counts, k + n) for v, n in zip(column, own)])
 
         @F.pandas_udf("struct<query_id: array<long>, vec_id: array<long>, score: array<double>>")
         def scored(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -202,7 +215,9 @@ class NearestIndex:
             parts = rows.join(F.broadcast(sizes), "leaf").groupBy("leaf", part.alias("_part")).agg(F.collect_list(F.struct("vec_id", "v")).alias("_rows"))
             return parts.select("leaf", F.col("_rows.vec_id").alias(ids), F.flatten("_rows.v").alias(matrix))
 
-        asked = save(queries.select("vec_id", "v", F.explode(bins("v")).alias("leaf")))
+        repeated = self.vectors.groupBy("vec_id").agg(F.count(F.lit(1)).alias("_own")).filter("_own > 1")
+        own = F.coalesce("_own", F.lit(1)).cast("long")
+        asked = save(queries.join(repeated, "vec_id", "left").select("vec_id", "v", F.explode(bins("v", own)).alias("leaf")))
         pairs = packed(asked, QUERIES, "queries", "qids", "qs").join(packed(self.vectors, BLOCK, "rows", "ids", "xs"), "leaf")
         found = pairs.select(scored("qids", "qs", "ids", "xs").alias("f")).select(F.explode(F.arrays_zip("f.query_id", "f.vec_id", "f.score")).alias("z")).select("z.query_id", "z.vec_id", "z.score")
         # a pair of blocks is a row of about a megabyte, so few of them may be in a batch

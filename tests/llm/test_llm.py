@@ -209,6 +209,26 @@ def test_neighbours_recall_and_order(spark, tiny):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_neighbours_are_all_there_for_skewed_vectors(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.repeat(rng.normal(size=(10, 16)), 300, axis=0), np.repeat(rng.normal(size=(25, 16)), 5, axis=0)])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) + rng.normal(size=x.shape) * 0.02
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000, x[3000].tolist())] * 30
+    index = neighbours.NearestIndex.build(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    index.visits = 1  # leaves of the small groups hold fewer than 20
+    asked = index.vectors.filter("vec_id >= 3000 or vec_id % 300 = 0").select("vec_id", "v").dropDuplicates(["vec_id"])
+    got = index.search(asked).groupBy("query_id").count().collect()
+    assert sorted((r["query_id"], r["count"]) for r in got) == [(q, 20) for q in [*range(0, 3000, 300), *range(3000, 3125)]]
+
+
+def test_neighbours_probes_are_not_fitted_to(spark, monkeypatch):
+    fitted, fit = [], neighbours.Tree.fit.__func__
+    monkeypatch.setattr(neighbours.Tree, "fit", classmethod(lambda cls, x: fitted.append(len(x)) or fit(cls, x)))
+    for n, probes in ((100, 30), (20, 30), (1, 30)):
+        neighbours.NearestIndex.build(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(n)], "vec_id long, embedding array<double>"), probes=probes)
+    assert fitted == [70, 10, 1]
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(i, [float(i % 5), 1.0]) for i in range(40)] + [(100, None), (101, [0.0, 0.0]), (102, [float("nan"), 1.0]), (103, [None, 1.0]), (104, [1.0]), (None, [1.0, 1.0]), (105, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
