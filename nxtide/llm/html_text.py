@@ -20,21 +20,32 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body div main section td".split())
-#: Left out with all that they hold.
+#: Left out with all that they hold. By its name an element may be a page's wrapper, as a form may: these not if they hold most of it.
 OUTSIDE = frozenset("nav footer aside form button select menu dialog head".split())
 NOISE = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|related|share|social|comments?|disqus|replies|cookies?|consent|gdpr|notices?|newsletter|subscribe|popup|modal|login|search|form)(?:$|[-_ \d])", re.I)
+#: What readers wrote, which may well be longer than the page's own text.
+REPLIES = re.compile(r"(?:^| )(?:comments?|comments?-(?:list|area|section)|disqus\w*|replies)(?:$| )", re.I)
+#: Shares of a page's text outside links: with more than MOST an element is not left out by its name, with more than NEARLY_ALL neither
+#: replies nor what is apart from an article or main; where what stays has less than LITTLE, names don't decide; a host's path with less than SMALL is not this page's.
+MOST, NEARLY_ALL, LITTLE, SMALL = 0.5, 0.9, 0.1, 0.2
 #: A container's share of text that counts for its own container in turn.
 FADE = 0.5
 
 
 class Page:
-    """A page's blocks: (text, open containers from the outermost, length within links), without what is no main text."""
+    """A page's blocks: (text, open containers from the outermost, length within links), without what is no main text.
+
+    A container is its number, its path, and whether it is an article or main. What is left out is decided by
+    shares of the whole page's text, once all is read.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, list[tuple[int, str]], int]] = []
-        self._parts: list[str] = []
-        self._linked = 0
-        self._stack: list[tuple[str, str | None, bool]] = []  # tag, path if it is a container, whether it is left out
+        self.blocks: list[tuple[str, list[tuple[int, str, bool]], int]] = []
+        self._read: list[tuple[list[tuple[str, int, tuple[int, ...]]], list[tuple[int, str, bool]]]] = []
+        self._parts: list[tuple[str, int, tuple[int, ...]]] = []  # text, length within links, open elements that may be left out
+        self._stack: list[tuple[str, str | None, tuple[int, ...]]] = []  # tag, path if it is a container, elements from the outermost to it that may be left out
+        self._wrappers: dict[int, bool] = {}  # of those, the ones by a class or id, and forms; whether within an article or main
+        self._replies: set[int] = set()
         self._serial = 0
         self._ids: list[int] = []
         at = 0
@@ -55,23 +66,46 @@ class Page:
                         continue
                     self._open(tag, m[3] or "")
         self._flush()
+        out = self._left_out()
+        for parts, containers in self._read:
+            kept = [(text, linked) for text, linked, outs in parts if out.isdisjoint(outs)]
+            text = " ".join("".join(t for t, _ in kept).split())
+            if text:
+                self.blocks.append((text, containers, sum(n for _, n in kept)))
+
+    def _left_out(self) -> set[int]:
+        """The elements that are left out, of those that may be: all but wrappers of the text, and what holds every word of it."""
+        out = {i for parts, _ in self._read for _, _, outs in parts for i in outs}
+        if not out:
+            return out
+        worth = [(len(text.strip()), outs, any(c[2] for c in containers)) for parts, containers in self._read for text, linked, outs in parts if not linked]
+        held: dict[int, int] = dict.fromkeys(out, 0)
+        for n, outs, _ in worth:
+            for i in outs:
+                held[i] += n
+        total = sum(n for n, _, _ in worth)
+        marked = any(n and main and not outs for n, outs, main in worth)  # the page says itself where its text is
+        apart = {i for i, within in self._wrappers.items() if marked and not within} | self._replies
+        most = {i: total * (NEARLY_ALL if i in apart else MOST) if i in self._wrappers else max(0, total - 1) for i in out}
+        out = {i for i in out if held[i] <= most[i]}
+        if sum(n for n, outs, _ in worth if out.isdisjoint(outs)) < LITTLE * total:
+            out -= self._wrappers.keys() - apart
+        return out
 
     def _text(self, text: str) -> None:
-        if text and not any(s[2] for s in self._stack):
+        if text:
             text = entities.unescape(text)
-            self._parts.append(text)
-            if any(s[0] == "a" for s in self._stack):
-                self._linked += len(text)
+            linked = any(s[0] == "a" for s in self._stack)
+            self._parts.append((text, len(text) if linked else 0, self._stack[-1][2] if self._stack else ()))
 
     def _flush(self) -> None:
-        text = " ".join("".join(self._parts).split())
-        if text:
-            self.blocks.append((text, [(i, s[1]) for i, s in zip(self._ids, self._stack) if s[1]], self._linked))
-        self._parts, self._linked = [], 0
+        if any(not text.isspace() for text, _, _ in self._parts):
+            self._read.append((self._parts, [(i, s[1], s[0] in ("article", "main")) for i, s in zip(self._ids, self._stack) if s[1]]))
+        self._parts = []
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "br":
-            self._parts.append(" ")
+            self._parts.append((" ", 0, ()))
         if tag in BLOCKS:
             self._flush()
             for k in range(len(self._stack) - 1, -1, -1):  # a block ends an open paragraph, and what is open in it
@@ -85,14 +119,22 @@ class Page:
         held = {m[1].lower(): next(x for x in m.groups()[1:] if x is not None) for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         names = " ".join(held.get(k, "") for k in ("class", "id"))
         main = any(s[0] in ("article", "main") for s in self._stack)
-        out = tag in OUTSIDE or (tag == "header" and not main) or "hidden" in attributes.split() or held.get("role", "") in ("navigation", "banner", "complementary", "contentinfo", "search") or bool(names and tag not in ("body", "html", "article", "main") and NOISE.search(names))
+        out = tag in OUTSIDE - {"form"} or (tag == "header" and not main) or "hidden" in attributes.split() or held.get("role", "") in ("navigation", "banner", "complementary", "contentinfo", "search")
+        named = not out and (tag == "form" or bool(names) and tag not in ("body", "html", "article", "main") and bool(NOISE.search(names)))
         path = None
         if tag in CONTAINERS:
             above = next((s[1] for s in reversed(self._stack) if s[1]), "")
             kind = ".".join([tag, *sorted(re.sub(r"\d+", "#", c) for c in held.get("class", "").lower().split())])
             path = f"{above}/{kind}"
         self._serial += 1
-        self._stack.append((tag, path, out))
+        outs = self._stack[-1][2] if self._stack else ()
+        if out or named:
+            outs += (self._serial,)
+            if named:
+                self._wrappers[self._serial] = main
+            if REPLIES.search(names):
+                self._replies.add(self._serial)
+        self._stack.append((tag, path, outs))
         self._ids.append(self._serial)
 
     def _close(self, tag: str) -> None:
@@ -111,19 +153,28 @@ class Page:
         out: dict[str, float] = {}
         for text, containers, linked in self.blocks:
             worth = float(max(0, len(text) - 2 * linked))
-            for _, path in reversed(containers):
+            for _, path, _ in reversed(containers):
                 out[path] = out.get(path, 0.0) + worth
                 worth *= FADE
         return out
 
     def main_text(self, path: str | None) -> str:
-        """The blocks within containers of that path; of the page's own best one, where it has no such text; else all."""
+        """The blocks within containers of that path; of the page's own best one, where those hold little of its text; else all.
+
+        A container within an article or main stands for the innermost of these.
+        """
         own = self.scores()
-        for want in (path, max(own, key=lambda p: (own[p], p)) if own else None):
-            if want is not None:
-                found = [text for text, containers, _ in self.blocks if any(p == want for _, p in containers)]
-                if found:
-                    return "\n\n".join(found)
+        best = max(own, key=lambda p: (own[p], p)) if own else None
+        total = sum(max(0, len(text) - 2 * linked) for text, _, linked in self.blocks)
+        for want in (path, best):
+            wide = set()
+            for _, containers, _ in self.blocks:
+                for k, (i, p, _) in enumerate(containers):
+                    if p == want:
+                        wide.add(next((j for j, _, main in reversed(containers[: k + 1]) if main), i))
+            found = [b for b in self.blocks if any(i in wide for i, _, _ in b[1])]
+            if found and (want == best or sum(max(0, len(text) - 2 * linked) for text, _, linked in found) >= SMALL * total):
+                return "\n\n".join(text for text, _, _ in found)
         return "\n\n".join(text for text, _, _ in self.blocks)
 
 
@@ -138,8 +189,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     score; a path is made of tags and classes, with # for digits. A host's path is the one
     with most votes (ties: the last in order). Votes are summed before they are shuffled and
     only one row for each host and path is, so a large host is like others; its pages are
-    dealt among copies of its path. A page without such text falls back on its own best
-    container. Null or empty html has no text; a null url, or one without a host, belongs
+    dealt among copies of its path. A page with little or no such text falls back on its own
+    best container. Null or empty html has no text; a null url, or one without a host, belongs
     to the empty host. Repeated rows are rows each.
     """
 

@@ -282,6 +282,43 @@ def test_pages(spark):
     assert (out[7], out[8], out[9], out[10], out[5]) == ("", "plain text <only", "", LONG, "Fallback text here")
 
 
+def words(name, n):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("tag", ["div class='layout has-sidebar'", "div class='site-content with-sidebar'", "div class='elementor-widget-container'", "div class='content no-comments'", "div class='page-wrapper nav-open'", "form id=aspnetForm"])
+def test_page_within_a_wrapper_that_is_named_like_noise(tag):
+    source = f"<body><h1>Title</h1><{tag}><nav><a href=x>{words('n', 20)}</a></nav><div class=text><p>{words('a', 80)}</p><p>{words('b', 80)}</p></div><div class=sidebar><p>{words('s', 9)}</p></div></{tag.split()[0]}><div class=footer>Foot</div></body>"
+    assert html_text.Page(source).main_text(None) == f"{words('a', 80)}\n\n{words('b', 80)}"
+
+
+def test_page_of_many_parts_that_are_named_like_noise():
+    parts = [words(c, 50) for c in "abcd"]
+    source = "<body><div class=all>" + "".join(f"<div class=widget><p>{p}</p></div>" for p in parts) + "</div></body>"
+    assert html_text.Page(source).main_text("/body.x/div.all") == "\n\n".join(parts)
+
+
+def test_long_comments_stay_out():
+    source = f"<body><div class=post><p>{words('a', 40)}</p></div><div id=comments><p>{words('c', 150)}</p></div></body>"
+    assert html_text.Page(source).main_text(None) == words("a", 40)
+
+
+def test_noise_beside_a_short_article_stays_out():
+    source = f"<body><article><p>{words('a', 15)}</p></article><div class=cookies><p>{words('c', 60)}</p></div><footer>{words('f', 60)}</footer></body>"
+    assert html_text.Page(source).main_text("/body/article") == words("a", 15)
+
+
+def test_page_keeps_heading_and_lead_of_its_article():
+    source = f"<body><main><article><h1>Title</h1><div class=lead><p>{words('l', 20)}</p></div><div class=body><p>{words('b', 90)}</p></div></article><p>Other</p></main></body>"
+    for path in (None, "/body/main/article/div.body"):
+        assert html_text.Page(source).main_text(path) == f"Title\n\n{words('l', 20)}\n\n{words('b', 90)}"
+
+
+def test_page_whose_text_is_elsewhere_than_its_host_s():
+    source = f"<body><div class=content><p>Short</p></div><div class=story><p>{words('b', 90)}</p></div></body>"
+    assert html_text.Page(source).main_text("/body/div.content") == words("b", 90)
+
+
 def test_pages_of_the_table(spark, tiny):
     import html
     import re
