@@ -1,10 +1,11 @@
-"""Approximate nearest neighbours: a k-means tree searched best bin first."""
+"""Approximate nearest neighbours: a hierarchical k-means tree, grown level by level in Spark, searched best bin first."""
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -12,11 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from nxtide.llm.common import save
+from nxtide.llm.common import discard, save
 
-#: Vectors that the tree is fitted to and calibrated with at most, children of a node, vectors of the sample in a leaf, and the recall to reach.
-SAMPLE, PROBES, BRANCH, LEAF, RECALL = 16384, 256, 8, 384, 0.95
-#: Vectors in a block of a leaf, and queries in a block, that are scored together.
+#: Vectors that the tree's top is fitted to, queries that calibrate it, children of a node, and the recall to reach.
+SAMPLE, PROBES, BRANCH, RECALL = 16384, 256, 8, 0.95
+#: Rows that a leaf should hold at most (fewer in a small table, for LEAST_LEAVES or so), and rows of a leaf's sample for each child that it is split into.
+ROWS, LEAST_LEAVES, FIT = 512, 32, 128
+#: Leaves at most, as each task holds the tree (some 4 bytes a dimension and leaf). Beyond MOST_LEAVES x ROWS rows leaves are larger.
+MOST_LEAVES = 1 << 16
+#: Vectors in a block of a leaf, and queries in a part of those that visit it, that are scored together.
 BLOCK, QUERIES = 1024, 1024
 
 
@@ -24,27 +29,34 @@ BLOCK, QUERIES = 1024, 1024
 class Tree:
     """centres[i] are the centres of node i's children, children[i] their nodes; a child below zero is leaf -1 - child."""
 
-    centres: list[np.ndarray]
-    children: list[list[int]]
-    leaves: int
+    centres: list[np.ndarray] = field(default_factory=list)
+    children: list[list[int]] = field(default_factory=list)
+    leaves: int = 1
+
+    def split(self, centres: dict[int, np.ndarray]) -> None:
+        """Puts a node in the place of each of these leaves; its first child keeps the leaf's number."""
+        at = {child: (kids, k) for kids in self.children for k, child in enumerate(kids) if child < 0}
+        for leaf, c in centres.items():
+            node = len(self.centres)
+            if (place := at.get(-1 - leaf)) is not None:
+                place[0][place[1]] = node
+            self.centres.append(c.astype(np.float32))
+            self.children.append([-1 - leaf, *(-1 - (self.leaves + k) for k in range(len(c) - 1))])
+            self.leaves += len(c) - 1
 
     @classmethod
-    def fit(cls, x: np.ndarray, seed: int = 5) -> Tree:
-        rng, tree = np.random.default_rng(seed), cls([], [], 0)
-
-        def grow(rows: np.ndarray) -> int:
-            if len(rows) > LEAF:
-                centres, at = _kmeans(x[rows], BRANCH, rng)
+    def fit(cls, x: np.ndarray, rows: int, seed: int = 5) -> Tree:
+        """A tree whose leaves hold `rows` of x at most, or vectors that are all the same."""
+        rng, tree = np.random.default_rng(seed), cls()
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            leaf, own = todo.pop()
+            if len(own) > rows:
+                centres, at = _kmeans(x[own], min(BRANCH, -(-len(own) // rows)), rng)
                 if len(centres) > 1:
-                    node = len(tree.centres)
-                    tree.centres.append(centres)
-                    tree.children.append([])
-                    tree.children[node] = [grow(rows[at == k]) for k in range(len(centres))]
-                    return node
-            tree.leaves += 1
-            return -tree.leaves
-
-        grow(np.arange(len(x)))
+                    first = tree.leaves
+                    tree.split({leaf: centres})
+                    todo += [(leaf if k == 0 else first + k - 1, own[at == k]) for k in range(len(centres))]
         return tree
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
@@ -53,8 +65,7 @@ class Tree:
         todo = [(0, np.arange(len(x)))] if self.centres else []
         while todo:
             node, rows = todo.pop()
-            c = self.centres[node]
-            at = ((c * c).sum(axis=1)[None, :] - 2 * x[rows] @ c.T).argmin(axis=1)
+            at = _nearest(x[rows], self.centres[node].astype(np.float64))
             for k, child in enumerate(self.children[node]):
                 mine = rows[at == k]
                 if child < 0:
@@ -63,34 +74,44 @@ class Tree:
                     todo.append((child, mine))
         return out
 
-    def best_bins(self, q: np.ndarray, visits: int, counts: np.ndarray, least: int) -> list[int]:
-        """Leaves, best first: `visits` of them, and on until they hold `least` vectors by counts, or there are no more.
-
-        A queue holds all branches not yet taken, by the product of q with their centres.
-        """
+    def bins(self, q: np.ndarray) -> Iterator[int]:
+        """All leaves, best first: a queue holds the branches not yet taken, by the product of q with their centres."""
         if not self.centres:
-            return [0]
-        queue, out, serial, held = [(0.0, 0, 0)], [], 0, 0
-        while queue and (len(out) < visits or held < least):
+            yield 0
+            return
+        q = q.astype(np.float32)
+        queue, serial = [(0.0, 0, 0)], count(1)
+        while queue:
             _, _, node = heapq.heappop(queue)
             if node < 0:
-                out.append(-1 - node)
-                held += counts[-1 - node]
+                yield -1 - node
                 continue
             for s, child in zip((self.centres[node] @ q).tolist(), self.children[node]):
-                serial += 1
-                heapq.heappush(queue, (-s, serial, child))
+                heapq.heappush(queue, (-s, next(serial), child))
+
+    def best_bins(self, q: np.ndarray, visits: int, counts: np.ndarray, least: int) -> list[int]:
+        """Leaves, best first: `visits` of them, and on until they hold `least` vectors by counts, or there are no more."""
+        out, held = [], 0
+        for leaf in self.bins(q):
+            out.append(leaf)
+            held += counts[leaf]
+            if len(out) >= visits and held >= least:
+                break
         return out
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres * centres).sum(axis=1)[None, :] - 2 * x @ centres.T).argmin(axis=1)
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Centres, and the place of each row's; fewer than k where rows are the same."""
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        at = ((centres * centres).sum(axis=1)[None, :] - 2 * x @ centres.T).argmin(axis=1)
+        at = _nearest(x, centres)
         used = np.unique(at)
         centres = np.stack([x[at == j].mean(axis=0) for j in used])
-        at = np.searchsorted(used, at)
-    at = ((centres * centres).sum(axis=1)[None, :] - 2 * x @ centres.T).argmin(axis=1)
+    at = _nearest(x, centres)
     used = np.unique(at)
     return centres[used], np.searchsorted(used, at)
 
@@ -115,9 +136,19 @@ def _top(q: np.ndarray, ids: np.ndarray, rows: np.ndarray, rough: np.ndarray, ow
     return other[best], exact[best]
 
 
+def _counts(held: DataFrame, leaves: int) -> np.ndarray:
+    out = np.zeros(leaves, np.int64)
+    for row in held.groupBy("leaf").count().collect():  # a row for each leaf, MOST_LEAVES at most
+        out[row["leaf"]] = row["count"]
+    return out
+
+
 @dataclass
 class NearestIndex:
-    """A tree, the number of leaves that a search visits at least, all vectors (vec_id, v, leaf), and their number in each leaf."""
+    """A tree, the number of leaves that a search visits at least, all vectors (vec_id, v, leaf), and their number in each leaf.
+
+    recall: the share of the calibrating queries' true neighbours that lie within that many leaves.
+    """
 
     tree: Tree
     visits: int
@@ -126,107 +157,159 @@ class NearestIndex:
     counts: np.ndarray
 
     @classmethod
-    def build(cls, vectors: DataFrame, k: int = 20, recall: float = RECALL, sample: int = SAMPLE, probes: int = PROBES) -> NearestIndex:
-        """Indexes each row of vectors (vec_id, embedding); the tree is fitted to a bounded sample of them.
-
-        Null vectors, zero ones, and those with null or non-finite components or not of the
-        commonest length (ties: the longer) take no part, nor do null ids. Visits are widened
-        until the mean recall over `probes` sampled queries, against exact search over all
-        vectors, is reached: each true neighbour's leaf has a place in the order of leaves.
-        The probes are none of the vectors that the tree is fitted to, if there are two or more.
+    def build(cls, vectors: DataFrame, k: int = 20, recall: float = RECALL, sample: int = SAMPLE, probes: int = PROBES, rows: int = ROWS, most_leaves: int = MOST_LEAVES) -> NearestIndex:
+        """Indexes each row of vectors (vec_id, embedding).
+
+        The tree's top is fitted to a bounded sample; then, level by level, each leaf that holds
+        more than twice `rows` rows of the table is split, fitted in a task of its own to a sample
+        of its rows, until none does or its vectors are all the same: the tree grows with the table.
+
+        Null vectors, zero ones, and those with null or non-finite components take no part, nor
+        do null ids, nor vectors not of the commonest length (ties: the longer), which have no
+        inner product with the others. Repeated rows are rows each. Visits are widened until the mean
+        recall over `probes` sampled queries, against exact search over all vectors, is reached: each
+        true neighbour's leaf has a place in the order of leaves. The probes are none of the
+        vectors that the tree is fitted to, if there are two or more. An empty table has an empty index.
         """
         spark = vectors.sparkSession
         kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
         fit = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
         valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v")).filter("vec_id is not null and v is not null").filter(fit)
-        width = valid.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-        if width is None:
-            return cls(Tree([], [], 1), 1, valid.withColumn("leaf", F.lit(0).cast("long")), 1.0, np.zeros(1, np.int64))
-        valid = valid.filter(F.size("v") == width["n"])
+        widths = valid.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+        if widths is None:
+            return cls(Tree(), 1, valid.withColumn("leaf", F.lit(0).cast("long")), 1.0, np.zeros(1, np.int64))
+        valid, rows = valid.filter(F.size("v") == widths["n"]), min(rows, max(16, widths["count"] // LEAST_LEAVES))
         drawn = valid.orderBy(F.xxhash64("vec_id", F.lit("tree")), "vec_id").limit(sample + probes).toPandas()
         apart = min(probes, len(drawn) // 2)
-        tree = Tree.fit(_matrix(drawn["v"][apart:]))
-        sent = spark.sparkContext.broadcast(tree)
-
-        def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                yield f.assign(leaf=sent.value.leaf_of(_matrix(f["v"])) if len(f) else 0)
-
-        held = save(valid.mapInPandas(assign, f"vec_id long, v {kind}, leaf long"))
-        counts = np.zeros(tree.leaves, np.int64)
-        for row in held.groupBy("leaf").count().collect():  # a row for each leaf of a tree of bounded size
-            counts[row["leaf"]] = row["count"]
-        queries = drawn.head(max(1, apart))
-        q, own = _matrix(queries["v"]), queries["vec_id"].to_numpy()
-        asked = spark.sparkContext.broadcast((q, own))
-
-        def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            q, own = asked.value
-            for f in frames:
-                if not len(f):
-                    continue
-                x, ids, leaf = _matrix(f["v"]), f["vec_id"].to_numpy(), f["leaf"].to_numpy()
-                rough = q @ x.T
-                found = [_top(q[i], ids, x, rough[i], own[i], k) for i in range(len(q))]
-                at = np.concatenate([a for a, _ in found])
-                yield pd.DataFrame({"probe": np.repeat(np.arange(len(q)), [len(a) for a, _ in found]), "score": np.concatenate([b for _, b in found]), "vec_id": ids[at], "leaf": leaf[at]})
-
-        rank = F.row_number().over(W.partitionBy("probe").orderBy(F.desc("score"), "vec_id"))
-        true = held.mapInPandas(exact, "probe int, score double, vec_id long, leaf long").withColumn("r", rank).filter(F.col("r") <= k).select("probe", "leaf").toPandas()
-        places = np.full((len(q), tree.leaves), tree.leaves)
-        for i in range(len(q)):
-            order = tree.best_bins(q[i], tree.leaves, counts, 0)
-            places[i, order] = np.arange(len(order))
-        at = np.sort(places[true["probe"].to_numpy(int), true["leaf"].to_numpy(int)])
-        need = int(np.ceil(recall * len(at)))
-        visits = int(at[need - 1]) + 1 if len(at) else 1
+        asked, fitted = drawn.head(max(1, apart)), drawn[apart:]
+        # a leaf of the top should hold about `rows` of the table, but is not fitted to fewer than FIT of the sample
+        share = len(fitted) / max(1, widths["count"])
+        tree = Tree.fit(_matrix(fitted["v"]), max(int(rows * share), min(FIT, rows)))
+        held = save(valid.mapInPandas(_assigning(spark.sparkContext.broadcast(tree)), f"vec_id long, v {kind}, leaf long"))
+        counts, done = _counts(held, tree.leaves), set()
+        while over := [i for i in np.flatnonzero(counts > 2 * rows).tolist() if i not in done][: max(0, most_leaves - tree.leaves) // (BRANCH - 1)]:
+            split = _split(held, {i: int(counts[i]) for i in over}, rows, asked["vec_id"].tolist())
+            done.update(i for i in over if i not in split)
+            if split:
+                tree.split(split)
+                moved = save(held.mapInPandas(_assigning(spark.sparkContext.broadcast(tree), set(split)), held.schema))
+                discard(held)
+                held, counts = moved, _counts(moved, tree.leaves)
+        found = _true_leaves(held, _matrix(asked["v"]), asked["vec_id"].to_numpy(), k)
+        places = []
+        for q, wanted in zip(_matrix(asked["v"]), found):
+            rest = dict.fromkeys(wanted)
+            for place, leaf in enumerate(tree.bins(q)):
+                if not rest:
+                    break
+                if leaf in rest:
+                    places += [place] * wanted.count(leaf)
+                    del rest[leaf]
+        at = np.sort(np.array(places, np.int64))
+        visits = int(at[int(np.ceil(recall * len(at))) - 1]) + 1 if len(at) else 1
         return cls(tree, visits, held, float((at < visits).mean()) if len(at) else 1.0, counts)
 
     def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
-        """(query_id, rank, vec_id, score): the k nearest found of each of queries (vec_id, v), other than itself; fewer only if there are fewer.
+        """(query_id, rank, vec_id, score, scored, calibrated_recall): the k nearest found of each of queries (vec_id, v), other than itself.
 
-        A query goes on beyond `visits` leaves until they hold k vectors and as many as have its id.
+        There are fewer only if there are fewer: a query goes on beyond `visits` leaves until they hold
+        k vectors and as many as have its id. Ties go to the smaller vec_id. Of several queries with an id
+        the one with the least vector counts. scored: the vectors that its leaves hold.
 
-        A leaf's vectors are dealt into blocks by a hash of their ids, about BLOCK of them in
-        each, and the queries that visit it likewise, so a leaf that holds many of all vectors
-        is many rows. Each pair of blocks gives at most k rows for a query.
+        A leaf's vectors are dealt into blocks by a hash of their ids, about BLOCK of them in each, and
+        the queries that visit it into parts likewise; a block and a part meet in one group, which
+        gives at most k rows for a query. So a leaf that holds many of all vectors is many groups.
         """
-        sent, visits = queries.sparkSession.sparkContext.broadcast((self.tree, self.counts)), self.visits
+        spark, visits = queries.sparkSession, self.visits
+        sent = spark.sparkContext.broadcast((self.tree, self.counts))
 
-        @F.pandas_udf("array<long>")
-        def bins(column: pd.Series, own: pd.Series) -> pd.Series:
+        @F.pandas_udf("struct<leaves: array<long>, scored: long>")
+        def bins(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             tree, counts = sent.value
-            return pd.Series([tree.best_bins(np.asarray(v, np.float64), visits, counts, k + n) for v, n in zip(column, own)])
-
-        @F.pandas_udf("struct<query_id: array<long>, vec_id: array<long>, score: array<double>>")
-        def scored(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-            for batch in frames:
-                out = []
-                for qids, qs, ids, xs in zip(*batch):
-                    q, x = (np.asarray(m, np.float64).reshape(len(i), -1) for i, m in ((qids, qs), (ids, xs)))
-                    rough = q @ x.T
-                    found = [_top(q[i], ids, x, rough[i], qids[i], k) for i in range(len(q))]
-                    out.append((np.repeat(qids, [len(a) for a, _ in found]), ids[np.concatenate([a for a, _ in found])], np.concatenate([b for _, b in found])))
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-        def packed(rows: DataFrame, most: int, salt: str, ids: str, matrix: str) -> DataFrame:
-            sizes = rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts"))  # a row for each leaf of a tree of bounded size
-            part = F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col("_parts"))
-            parts = rows.join(F.broadcast(sizes), "leaf").groupBy("leaf", part.alias("_part")).agg(F.collect_list(F.struct("vec_id", "v")).alias("_rows"))
-            return parts.select("leaf", F.col("_rows.vec_id").alias(ids), F.flatten("_rows.v").alias(matrix))
+            for column, own in frames:
+                found = [tree.best_bins(np.asarray(v, np.float64), visits, counts, k + n) for v, n in zip(column, own)]
+                yield pd.DataFrame({"leaves": found, "scored": [int(counts[f].sum()) for f in found]})
 
         repeated = self.vectors.groupBy("vec_id").agg(F.count(F.lit(1)).alias("_own")).filter("_own > 1")
-        own = F.coalesce("_own", F.lit(1)).cast("long")
-        asked = save(queries.join(repeated, "vec_id", "left").select("vec_id", "v", F.explode(bins("v", own)).alias("leaf")))
-        pairs = packed(asked, QUERIES, "queries", "qids", "qs").join(packed(self.vectors, BLOCK, "rows", "ids", "xs"), "leaf")
-        found = pairs.select(scored("qids", "qs", "ids", "xs").alias("f")).select(F.explode(F.arrays_zip("f.query_id", "f.vec_id", "f.score")).alias("z")).select("z.query_id", "z.vec_id", "z.score")
-        # a pair of blocks is a row of about a megabyte, so few of them may be in a batch
-        conf, batch = queries.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        usual = conf.get(batch)
-        conf.set(batch, "32")
-        try:
-            found = save(found)
-        finally:
-            conf.set(batch, usual)
+        single = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+        asked = single.join(repeated, "vec_id", "left").select("vec_id", "v", bins("v", F.coalesce("_own", F.lit(1)).cast("long")).alias("b"))
+        asked = save(asked.select("vec_id", "v", "b.scored", F.explode("b.leaves").alias("leaf")))
+        # a row for each leaf, MOST_LEAVES at most
+        parts = F.broadcast(asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts")))
+        blocks = F.broadcast(spark.createDataFrame([(i, -(-int(n) // BLOCK)) for i, n in enumerate(self.counts.tolist())], "leaf long, blocks int"))
+
+        def dealt(rows: DataFrame, mine: str, others: str, salt: str) -> DataFrame:
+            own = F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(f"{mine}s")).cast("int").alias(mine)
+            both = rows.join(parts, "leaf").join(blocks, "leaf")
+            return both.select(*rows.columns, own, F.explode(F.sequence(F.lit(0), F.col(f"{others}s") - 1)).alias(others))
+
+        def scored(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
+            out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+            if len(qs) and len(xs):
+                q, x, ids = _matrix(qs["v"]), _matrix(xs["v"]), xs["vec_id"].to_numpy()
+                rough = q @ x.T
+                for i, (own, seen) in enumerate(zip(qs["vec_id"].tolist(), qs["scored"].tolist())):
+                    at, score = _top(q[i], ids, x, rough[i], own, k)
+                    out.append((np.full(len(at), own), ids[at], score, np.full(len(at), seen)))
+            return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("query_id", "vec_id", "score", "scored"))})
+
+        key = ["leaf", "part", "block"]
+        met = dealt(asked, "part", "block", "queries").groupBy(*key).cogroup(dealt(self.vectors, "block", "part", "rows").groupBy(*key))
+        found = met.applyInPandas(scored, "query_id long, vec_id long, score double, scored long")
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        best = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+        return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "scored", F.lit(self.recall).alias("calibrated_recall"))
+
+
+def _assigning(tree, only: set[int] | None = None):
+    """Gives vectors their leaf; if `only`, those alone that are in one of these leaves."""
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if only is None:
+                yield f.assign(leaf=tree.value.leaf_of(_matrix(f["v"])) if len(f) else 0)
+                continue
+            leaf = f["leaf"].to_numpy().copy()
+            move = np.isin(leaf, list(only))
+            if move.any():
+                leaf[move] = tree.value.leaf_of(_matrix(f["v"][move]))
+            yield f.assign(leaf=leaf)
+
+    return assign
+
+
+def _split(held: DataFrame, sizes: dict[int, int], rows: int, probes: list[int]) -> dict[int, np.ndarray]:
+    """Centres that split leaves of these sizes, each fitted in a task to some FIT x BRANCH of its rows; none for a leaf of equal vectors."""
+    spark = held.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(i, min(1.0, FIT * BRANCH / n), min(BRANCH, -(-n // rows))) for i, n in sizes.items()], "leaf long, share double, k int"))
+    drawn = held.join(wanted, "leaf").filter((F.rand(11) < F.col("share")) & ~F.col("vec_id").isin(probes)).drop("share")
+
+    def centres(f: pd.DataFrame) -> pd.DataFrame:
+        leaf = int(f["leaf"].iloc[0])
+        found, _ = _kmeans(_matrix(f["v"]), int(f["k"].iloc[0]), np.random.default_rng(leaf))
+        return pd.DataFrame({"leaf": [leaf], "centres": [found.ravel()], "n": [len(found)]})
+
+    made = drawn.groupBy("leaf").applyInPandas(centres, "leaf long, centres array<double>, n int").collect()
+    return {r["leaf"]: np.array(r["centres"]).reshape(r["n"], -1) for r in sorted(made, key=lambda r: r["leaf"]) if r["n"] > 1}
+
+
+def _true_leaves(held: DataFrame, q: np.ndarray, own: np.ndarray, k: int) -> list[list[int]]:
+    """The leaves of the k nearest vectors of each of a bounded number of queries, by exact search over all."""
+    asked = held.sparkSession.sparkContext.broadcast((q, own))
+
+    def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, own = asked.value
+        for f in frames:
+            if not len(f):
+                continue
+            x, ids, leaf = _matrix(f["v"]), f["vec_id"].to_numpy(), f["leaf"].to_numpy()
+            rough = q @ x.T
+            found = [_top(q[i], ids, x, rough[i], own[i], k) for i in range(len(q))]
+            at = np.concatenate([a for a, _ in found])
+            yield pd.DataFrame({"probe": np.repeat(np.arange(len(q)), [len(a) for a, _ in found]), "score": np.concatenate([b for _, b in found]), "vec_id": ids[at], "leaf": leaf[at]})
+
+    rank = F.row_number().over(W.partitionBy("probe").orderBy(F.desc("score"), "vec_id"))
+    out: list[list[int]] = [[] for _ in own]
+    for r in held.mapInPandas(exact, "probe int, score double, vec_id long, leaf long").withColumn("r", rank).filter(F.col("r") <= k).select("probe", "leaf").collect():
+        out[r["probe"]].append(r["leaf"])
+    return out
