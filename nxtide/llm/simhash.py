@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import acos, ceil, comb, log, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -10,11 +11,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nxtide.llm.common import discard, save, text_of
+from nxtide.llm.common import SPREAD_KEYS, SPREAD_ROWS, discard, free_names, join_spread, save, sided, text_of
 from nxtide.llm.components import connected_components
 
 #: Shingles whose bits are counted at a time, so that a long text needs no more memory than a short one.
 CHUNK = 1 << 16
+#: Nodes up to which tasks are sent which texts to compare (some 40 bytes each); beyond, texts are shuffled.
+SENT = 500_000
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -26,20 +29,29 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n)
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """A bit is 1 if set in over half the hashes. Signed, as Spark's long; 0 without hashes."""
+def fingerprint(hashes: np.ndarray, words: int = 1) -> list[int]:
+    """Words of 64 bits, signed as Spark's long: a bit is 1 if set in over half the hashes, mixed anew for each further word; 0 without hashes."""
     if not len(hashes):
-        return 0
-    ones = np.zeros(64, np.int64)
+        return [0] * words
+    ones = np.zeros(64 * words, np.int64)
     for i in range(0, len(hashes), CHUNK):
-        ones += np.unpackbits(hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+        part = np.stack([hashes[i : i + CHUNK], *(_mixed(hashes[i : i + CHUNK], k) for k in range(1, words))], axis=1)
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64).tolist()
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Other 64 bits of each hash: two rounds of multiplication by odd numbers and shifts."""
+    h = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
 
 
 def fingerprint_of(text: Column, width: int) -> Column:
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(shingle_hashes(t, width)) for t in texts], dtype="int64")
+        return pd.Series([fingerprint(shingle_hashes(t, width))[0] for t in texts], dtype="int64")
 
     return simhash(text_of(text))
 
@@ -96,19 +108,22 @@ def pairs_within(nodes: DataFrame, radius: int, segments: int, where: str = "tru
 def fingerprint_components(docs: DataFrame, width: int = 4, radius: int = 4, segments: int = 3) -> DataFrame:
     """Rows (doc_id, fp, component_id) for documents (doc_id, text), by links between fingerprints.
 
-    Equal fingerprints are one node, however many documents have them. A text without
-    words has fingerprint 0, linked like any other. component_id is the smallest doc_id
-    reachable; rows with a null doc_id are kept and take the smallest other one of their
-    component, or null. Repeated rows stay. At most (number of flips in a segment's ball)
-    / 2 probes are made for a segment; with more documents take fewer, wider segments.
+    Equal fingerprints are one node, however many documents have them, and the documents of one are
+    dealt among copies of its component's row. A text without words (null, empty, or white space) has
+    fingerprint 0, linked like any other. component_id is the smallest doc_id reachable; rows with a
+    null doc_id are kept and take the smallest other one of their component, or null. Repeated rows
+    stay; very long texts are hashed whole; an empty table stays empty; further columns are not read.
+    At most (number of flips in a segment's ball) / 2 probes are made for a segment; with more
+    documents take fewer, wider segments.
     """
     rows = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_of(F.col("text"), width).alias("fp")))
-    prints = save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    prints = save(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(pairs_within(prints.select(F.col("fp").alias("node"), "fp"), radius, segments))
     linked = roots.join(prints, roots.node == prints.fp)
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = prints.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = prints.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left")
+    by_print = save(by_print.select("fp", "n", F.coalesce("component_id", "first").alias("component_id")))
+    return join_spread(rows, by_print, ["fp"], "n", ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: str) -> Column:
@@ -117,64 +132,184 @@ def hex_of(fp: str) -> Column:
 
 def similar(a: str | None, b: str | None, width: int) -> float:
     """Jaccard similarity of the texts' shingles; 1 for two texts without words."""
-    x, y = (np.unique(shingle_hashes(t, width)) for t in (a, b))
+    return _jaccard(*(np.unique(shingle_hashes(t, width)) for t in (a, b)))
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-#: (radius, segments) of the passes of near_duplicates.
-PASSES = ((4, 3), (7, 4), (11, 4))
+#: Bits that a segment may have, the share of pairs of the least similarity that segments are to find, and the chance matches of a text that are too many.
+WIDTHS, RECALL, MATCHES = (16, 21, 26, 32), 0.99, 4096
+
 
+class Plan:
+    """Segments for so many texts: as many as find pairs of a similarity with the chance RECALL, as wide as keeps chance matches few.
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, passes: tuple = PASSES) -> DataFrame:
-    """Rows (doc_id, group_id, rows) for each distinct doc_id of documents (doc_id, text); group_id is its group's smallest doc_id.
+    Sets of similarity s have vectors at an angle whose cosine is 2s / (1 + s), if they are of one size, so each
+    bit of their fingerprints differs with the chance angle / pi. A segment finds a pair if one bit of it differs at most.
+    """
 
-    Texts with the same words are one node. Fingerprints find pairs, within a radius that
-    widens from pass to pass, and the exact similarity of their shingles verifies them. A
-    pass makes pairs only between nodes that no earlier pass has joined, so a large group of
-    near copies gives few pairs. Rows with a null doc_id take no part. A doc_id with several
-    rows has the group of the smallest of them; `rows` counts them.
+    def __init__(self, texts: int, similarity: float):
+        apart = acos(2 * similarity / (1 + similarity)) / pi
+        for self.width in WIDTHS:
+            found = sum(comb(self.width, k) * apart**k * (1 - apart) ** (self.width - k) for k in (0, 1))
+            self.words = max(2, ceil(ceil(log(1 - RECALL) / log(1 - found)) / (64 // self.width)))
+            self.segments = [(w, i * self.width) for w in range(self.words) for i in range(64 // self.width)]
+            if texts * len(self.segments) * (self.width + 1) / 2 ** (self.width + 1) <= MATCHES:
+                break
+        self.radius = int(self._bound(64 * self.words, apart, 3.0))
+        self.word_radius = int(self._bound(64, apart, 3.5))
+
+    @staticmethod
+    def _bound(bits: int, apart: float, deviations: float) -> float:
+        """Bits in which hardly any pair of that similarity differs more."""
+        return bits * apart + deviations * sqrt(bits * apart * (1 - apart))
+
+    def keys(self, nodes: DataFrame) -> DataFrame:
+        """A row (node, size, root, key, other) for each segment: its number and value, and another word of the fingerprint."""
+        mask = (1 << self.width) - 1
+        parts = [f"named_struct('key', ({i}L << 40) | (shiftrightunsigned(fp[{w}], {o}) & {mask}L), 'other', fp[{(w + 1) % self.words}])" for i, (w, o) in enumerate(self.segments)]
+        return nodes.select("node", "size", "root", F.explode(F.expr(f"array({', '.join(parts)})")).alias("k")).select("node", "size", "root", "k.key", "k.other")
+
+    def probes(self, keys: DataFrame) -> DataFrame:
+        """keys, and those with one bit of the value flipped; of two values one bit apart only that with a 0 there probes for the other."""
+        flips = F.array(*(F.lit(m).cast("long") for m in (0, *(1 << b for b in range(self.width)))))
+        return keys.withColumn("flip", F.explode(flips)).filter("key & flip = 0").withColumn("key", F.expr("key ^ flip"))
+
+
+def _near_pairs(nodes: DataFrame, plan: Plan, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, size, fp, root) of different roots that meet in a segment's ball and may be similar; distinct.
+
+    A key that very many nodes have is dealt among tasks. Those of its nodes with its commonest root meet
+    the others only, in tasks that have a share of them each, so that a large group of near copies, which
+    are of one root by then, is not compared with itself.
+    """
+    keys = plan.keys(nodes)
+    by_root = keys.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    limit = max(SPREAD_ROWS, nodes.count() * len(plan.segments) // SPREAD_KEYS)
+    hot = save(by_root.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main")).filter(F.col("n") > limit))
+    condition = F.expr(
+        f"p.root <> t.root and (p.flip <> 0 or p.node < t.node) and bit_count(p.other ^ t.other) <= {plan.word_radius} and least(p.size, t.size) >= {similarity} * greatest(p.size, t.size)"
+    )
+
+    def met(p: DataFrame, t: DataFrame, on: list[str]) -> DataFrame:
+        both = p.alias("p").join(t.alias("t"), [F.col(f"p.{c}") == F.col(f"t.{c}") for c in on] + [condition])
+        return both.select(F.least("p.node", "t.node").alias("a"), F.greatest("p.node", "t.node").alias("b"))
+
+    probes = plan.probes(keys)
+    if hot.isEmpty():
+        return met(probes, keys, ["key"]).distinct()
+    copies = F.broadcast(hot.select("key", "main", F.ceil(F.col("n") / limit).cast("int").alias("copies")))
+    every, mine = F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)), F.pmod(F.xxhash64("node"), F.coalesce("copies", F.lit(1))).cast("int")
+    others = probes.join(copies, "key", "left").filter("main is null or root <> main").withColumn("salt", every)
+    all_ = keys.join(copies, "key", "left").withColumn("salt", mine)
+    main = probes.join(copies, "key").filter("root = main").withColumn("salt", mine)
+    rest = keys.join(copies, "key").filter("root <> main").withColumn("salt", every)
+    return met(others, all_, ["key", "salt"]).unionByName(met(main, rest, ["key", "salt"])).distinct()
+
+
+def _star_pairs(nodes: DataFrame, plan: Plan, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each node and the representative of those that share a segment's value, if they may be similar; distinct."""
+    keys = plan.keys(nodes)
+    first = F.min_by(F.struct("node", "size", "other"), F.struct(F.xxhash64("node"), "node"))
+    shared = save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first.alias("rep")).filter("n > 1"))
+    met = join_spread(keys, shared, ["key"], "n", ["node"]).filter(f"node <> rep.node and bit_count(other ^ rep.other) <= {plan.word_radius} and least(size, rep.size) >= {similarity} * greatest(size, rep.size)")
+    return met.select(F.least("node", "rep.node").alias("a"), F.greatest("node", "rep.node").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows (doc_id, text_id, group_id, kept, rows) for each distinct document of (doc_id, text); group_id is its group's smallest doc_id.
+
+    Texts with the same words are one node with one fingerprint of several words of 64 bits, made of
+    its distinct shingles. Segments of it are an index (Plan): each node looks up the values of its own
+    segments and those one bit away, and the distance of the whole fingerprints, then the exact similarity of
+    the sets of shingles verify what it finds. First each node is compared with one representative of those
+    that share a segment's value, which joins most of a group of near copies at once; then all pairs that
+    meet are taken, but for those already joined: of two groups first the nearest pair, then, if
+    that does not join them, all others. No pair that meets is left out.
+
+    Documents are told apart by doc_id and text (text_id is a hash of it): rows that share an id but not a
+    text are judged each for itself, repeated rows are one, and `rows` counts them. kept: the one
+    document of a group that has the smallest doc_id (ties: the least text_id). Rows with a null doc_id take
+    no part. Texts without words, null ones too, are alike. Texts of any length are hashed whole. An empty
+    table gives no rows; further columns are not read.
     """
+    plan = Plan(docs.count(), similarity)
 
-    @F.pandas_udf("struct<fp: long, size: int, h1: long, h2: long>")
+    @F.pandas_udf("struct<fp: array<long>, size: int, h1: long, h2: long>")
     def described(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            distinct = np.unique(shingle_hashes(t, width))  # as similar() compares: sets, whatever recurs how often
+            distinct = np.unique(shingle_hashes(t, width))  # sets are compared, whatever recurs how often
             words = b" ".join(t.encode().lower().split())
-            out.append((fingerprint(distinct), len(distinct), *(xxhash.xxh64_intdigest(words, seed) - (1 << 63) for seed in (1, 2))))
-        return pd.DataFrame(out, columns=["fp", "size", "h1", "h2"]).astype({"fp": "int64", "size": "int32", "h1": "int64", "h2": "int64"})
-
-    @F.pandas_udf("boolean")
-    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(x, y, width) >= similarity for x, y in zip(a, b)], dtype=bool)
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).filter("doc_id is not null")
-    rows = save(own.select("doc_id", described("text").alias("d")).select("doc_id", "d.*"))
-    nodes = save(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size")))
-    links = save(rows.join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "node").distinct())
-    # a doc_id whose rows have several texts joins their nodes
-    edges = links.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    edges = links.join(edges.select("doc_id", F.col("a")), "doc_id").filter("a <> node").select("a", F.col("node").alias("b"))
-    texts = own.select(F.col("doc_id").alias("node"), "text")
-    for radius, segments in passes:
-        roots = connected_components(edges)
-        placed = nodes.join(roots, "node", "left").select("node", "fp", "size", F.coalesce("root", "node").alias("root"))
-        least = f"least(p.size, t.size) >= {similarity} * greatest(p.size, t.size)"
-        found = save(pairs_within(placed, radius, segments, f"p.root <> t.root and {least}"))
-        wanted = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-        held = save(texts.join(wanted, "node").groupBy("node").agg(F.min("text").alias("text")))  # of a doc_id with several texts, the smallest
-        pairs = found.join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        edges = save(edges.unionByName(pairs.filter(verified("ta", "tb")).select("a", "b")))
-        discard(found)
+            out.append((fingerprint(distinct, plan.words), len(distinct), *(xxhash.xxh64_intdigest(words, seed) - (1 << 63) for seed in (1, 2))))
+        return pd.DataFrame(out, columns=["fp", "size", "h1", "h2"]).astype({"size": "int32", "h1": "int64", "h2": "int64"})
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).filter("doc_id is not null").withColumn("text_id", F.xxhash64("text"))
+    rows = save(own.select("doc_id", "text_id", described("text").alias("d")).select("doc_id", "text_id", "d.*"))
+    by_text = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_id")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"))
+    nodes = save(by_text.withColumn("node", F.monotonically_increasing_id()))
+    alone = nodes.select("node", "size", "fp", F.col("node").alias("root"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) that are similar."""
+        pairs = save(_whole_distance(pairs, nodes, plan.radius))
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        where = save(nodes.select("node", "first.*").join(ends, "node"))
+
+        @F.pandas_udf("binary")
+        def shingles(texts: pd.Series) -> pd.Series:
+            return pd.Series([np.unique(shingle_hashes(t, width)).tobytes() for t in texts], dtype=object)
+
+        texts = own.join(sided(where, SENT), ["doc_id", "text_id"]).dropDuplicates(["node"])
+        held = save(texts.select("node", "n", shingles("text").alias("held")))
+
+        @F.pandas_udf("boolean")
+        def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([_jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(a, b)], dtype=bool)
+
+        one = join_spread(pairs, held.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("held").alias("ha")), ["a"], "na", ["b"])
+        both = join_spread(one, held.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("held").alias("hb")), ["b"], "nb", ["a"])
+        out = save(both.filter(alike("ha", "hb")).select("a", "b"))
         discard(held)
+        discard(pairs)
+        return out
+
+    edges = verified(_star_pairs(alone, plan, similarity))
     roots = connected_components(edges)
-    return links.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("group_id")).join(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "doc_id")
+    placed = save(nodes.join(roots, "node", "left").select("node", "size", "fp", F.coalesce("root", "node").alias("root")))
+    found = save(_whole_distance(_near_pairs(placed, plan, similarity), placed, plan.radius))
+    if not found.isEmpty():
+        groups = [F.least("ra", "rb").alias("one"), F.greatest("ra", "rb").alias("two")]
+        nearest = found.groupBy(*groups).agg(F.min(F.struct("distance", "a", "b")).alias("m")).select("m.a", "m.b")
+        edges = save(edges.unionByName(verified(nearest)))
+        roots = connected_components(edges)
+        root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        left = found.join(nearest, ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+        left = save(left.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+        if not left.isEmpty():
+            roots = connected_components(edges.unionByName(verified(left)))
+    grouped = nodes.select("node", "h1", "h2", "first", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = grouped.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("members"))
+    by_node = save(join_spread(grouped, least, ["root"], "members", ["node"]).select("h1", "h2", "n", "least"))
+    single = rows.groupBy("doc_id", "text_id", "h1", "h2").agg(F.count(F.lit(1)).alias("rows"))
+    out = join_spread(single, by_node, ["h1", "h2"], "n", ["doc_id", "text_id"])
+    return out.select("doc_id", "text_id", F.col("least.doc_id").alias("group_id"), (F.struct("doc_id", "text_id") == F.col("least")).alias("kept"), "rows")
+
+
+def _whole_distance(pairs: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
+    """pairs (a, b) with the `distance` of their whole fingerprints and the roots ra and rb, if that is within the radius."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"), (F.col("root") if "root" in nodes.columns else F.col("node")).alias(f"r{c}"))
+    distance = F.expr("aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
+    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("distance", distance).filter(F.col("distance") <= radius).select("a", "b", "ra", "rb", "distance")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of docs that stay: the smallest doc_id of each group, once, and rows with a null doc_id."""
-    firsts = groups.filter("doc_id = group_id").select(F.col("doc_id").alias("_kept"), F.col("rows").alias("_rows"))
-    kept = docs.join(firsts, docs["doc_id"].cast("long") == F.col("_kept"))
-    once = kept.filter("_rows = 1").unionByName(kept.filter("_rows > 1").dropDuplicates(["_kept"]))
+    """The rows of docs that stay: of each group of near_duplicates() the document that is kept, once, and rows with a null doc_id."""
+    doc, text, rows = free_names(docs, "doc", "text", "rows")
+    firsts = groups.filter("kept").select(F.col("doc_id").alias(doc), F.col("text_id").alias(text), F.col("rows").alias(rows))
+    kept = docs.join(firsts, (docs["doc_id"].cast("long") == F.col(doc)) & (F.xxhash64(text_of(docs["text"])) == F.col(text)))
+    once = kept.filter(F.col(rows) == 1).unionByName(kept.filter(F.col(rows) > 1).dropDuplicates([doc, text]))
     return once.select(docs.columns).unionByName(docs.filter(docs["doc_id"].isNull()))
