@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nxtide.llm.common import WHITE, lower_ascii, save, text_of
+from nxtide.llm.common import WHITE, free_names, join_spread, lower_ascii, new_path, save, text_of, without
 
 #: Code points of a key, and documents that hold it, from which its lines are dropped.
 MIN_CHARS, MIN_DOCS = 20, 3
-SHARDS = 64
+#: Shards at least, and rows of the first insertion for each shard where there are more.
+SHARDS, SHARD_ROWS = 64, 1 << 22
 #: Bytes of all filters up to which tasks are sent them whole; beyond, lines are dealt to the filters' shards.
 SEND_BYTES = 32 << 20
 SALTS = 8
@@ -55,25 +56,36 @@ class Cuckoo:
 
     def add(self, hashes: np.ndarray) -> bool:
         """False if there is no room; the filter is then to be made again, larger."""
+        tags, one, two = self.places(hashes)
+        left = np.arange(len(tags))
+        for at in (one, two):
+            left = left[~self._put(tags[left], at[left])]
         mask, rng = len(self.table) - 1, np.random.default_rng(len(hashes))
-        for tag, one, two in zip(*(x.tolist() for x in self.places(hashes))):
-            for place in (one, two):
+        for tag, place in zip(tags[left].tolist(), two[left].tolist()):  # the few that find both buckets full
+            for _ in range(self.KICKS):
+                slot = int(rng.integers(self.SLOTS))
+                tag, self.table[place, slot] = int(self.table[place, slot]), tag
+                place ^= (tag * 0x5BD1E995) & mask
                 if (free := np.flatnonzero(self.table[place] == 0)).size:
                     self.table[place, free[0]] = tag
                     break
             else:
-                place = two
-                for _ in range(self.KICKS):
-                    slot = int(rng.integers(self.SLOTS))
-                    tag, self.table[place, slot] = int(self.table[place, slot]), tag
-                    place ^= (tag * 0x5BD1E995) & mask
-                    if (free := np.flatnonzero(self.table[place] == 0)).size:
-                        self.table[place, free[0]] = tag
-                        break
-                else:
-                    return False
+                return False
         return True
 
+    def _put(self, tags: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Puts tags into free slots of these buckets, as many as there are; whether each has one."""
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        turn = np.arange(len(at)) - np.searchsorted(at, at)  # a tag's place among those of its bucket
+        free = self.table[at] == 0
+        slots = free & (free.cumsum(axis=1) == turn[:, None] + 1)
+        put = slots.any(axis=1)
+        self.table[at[put], slots.argmax(axis=1)[put]] = tags[order][put]
+        out = np.empty(len(at), bool)
+        out[order] = put
+        return out
+
     def remove(self, hashes: np.ndarray) -> None:
         """Takes out one tag for each hash that has been added before."""
         for tag, one, two in zip(*(x.tolist() for x in self.places(hashes))):
@@ -97,47 +109,126 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     return keyed.select("doc_id", "text_id", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("second"), "k").alias("h2"))
 
 
-@dataclass
+@dataclass(frozen=True)
+class Sharded:
+    """A table in the shared folder with a folder for each `shard`, of which a change reads and writes only some.
+
+    versions: a path, the shards in it, and those of them that are valid. What is written stays as it is,
+    so that an index before a change can still be read after it.
+    """
+
+    schema: str
+    versions: tuple[tuple[str, frozenset[int], frozenset[int]], ...] = ()
+
+    def read(self, spark: SparkSession, only: frozenset[int] | None = None) -> DataFrame:
+        out = spark.createDataFrame([], self.schema)
+        for path, held, valid in self.versions:
+            wanted = valid if only is None else valid & only
+            if wanted:
+                rows = spark.read.schema(self.schema).parquet(path)
+                out = out.unionByName(rows if wanted == held else rows.filter(F.col("shard").isin(sorted(wanted))))
+        return out
+
+    def put(self, rows: DataFrame, instead: frozenset[int] = frozenset()) -> Sharded:
+        """With rows added; those that are there already in the shards `instead` are valid no more."""
+        spark, path = rows.sparkSession, new_path(rows.sparkSession)
+        dealt = spark.sql("SELECT /*+ REBALANCE(shard) */ * FROM {rows}", rows=rows)  # a large shard is several tasks
+        dealt.write.mode("append").partitionBy("shard").parquet(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        names = [f.getPath().getName() for f in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
+        held = frozenset(int(n.partition("=")[2]) for n in names if n.startswith("shard="))
+        before = tuple((p, h, v - instead) for p, h, v in self.versions if v - instead)
+        return replace(self, versions=(*before, (path, held, held)) if held else before)
+
+    def shards(self) -> frozenset[int]:
+        return frozenset().union(*(v for _, _, v in self.versions))
+
+
+def _values(df: DataFrame, column: str) -> frozenset[int]:
+    """The values of a column that names shards: as many as there are shards at most."""
+    return frozenset(r[0] for r in df.select(column).distinct().collect())
+
+
+@dataclass(frozen=True)
 class LineIndex:
     """An index of lines to which documents are added and from which they are deleted again.
 
-    postings (h1, h2, doc_id): which documents hold a key; refs (shard, h1, h2, refs, last):
-    how many, and the largest; filters (shard, data): a cuckoo filter for each shard with the
-    keys that at least min_docs documents hold. A filter says of a line that it is surely
-    kept, or else the exact table decides, so that no false positive has an effect. Deletion
-    lowers counts, and takes keys that fall below min_docs out of the filters: what an index
-    then says is what one that never had those documents would say.
+    by_doc (shard, doc_id, h1, h2) and by_key (shard, h1, h2, doc_id): which documents hold a key, in
+    shards by a hash of the document and of the key; counts (shard, h1, h2, refs, last): how many, and the
+    largest; filters (shard, data): a cuckoo filter for each shard of keys, with those that at least
+    min_docs documents hold. A filter says of a line that it is surely kept, or else the table of counts
+    decides, so that no false positive has an effect. A key is two hashes, 128 bits, of its line:
+    tables are exact but for lines that agree in both, of which 10^12 lines hold none with a chance of
+    1 - 10^-14. Deletion lowers counts, and takes keys that fall below min_docs out of the filters: what an
+    index then says is what one that never had those documents would say.
+
+    Both read and write only the shards of the documents and keys that change. With shards = 0 the first
+    insertion sets their number, by its rows.
     """
 
-    postings: DataFrame
-    refs: DataFrame
-    filters: DataFrame
+    spark: SparkSession
+    by_doc: Sharded = Sharded("shard int, doc_id long, h1 long, h2 long")
+    by_key: Sharded = Sharded("shard int, h1 long, h2 long, doc_id long")
+    counts: Sharded = Sharded("shard int, h1 long, h2 long, refs long, last long")
+    filters: Sharded = Sharded("shard int, data binary")
     min_chars: int = MIN_CHARS
     min_docs: int = MIN_DOCS
-    shards: int = SHARDS
+    shards: int = 0
     send_bytes: int = SEND_BYTES
 
     @classmethod
     def empty(cls, spark: SparkSession, **parameters) -> LineIndex:
-        schemas = ("h1 long, h2 long, doc_id long", "shard int, h1 long, h2 long, refs long, last long", "shard int, data binary")
-        return cls(*(spark.createDataFrame([], s) for s in schemas), **parameters)
+        return cls(spark, **parameters)
+
+    @property
+    def refs(self) -> DataFrame:
+        return self.counts.read(self.spark)
+
+    def _of_doc(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id", F.lit("doc")), F.lit(self.shards)).cast("int")
+
+    def _of_key(self) -> Column:
+        return F.pmod(F.xxhash64("h2", "h1"), F.lit(self.shards)).cast("int")
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """With the documents (doc_id, text) added. A doc_id that the index knows gains the keys that are new to it."""
-        new = lines_of(docs, self.min_chars).select("h1", "h2", "doc_id").distinct()
-        return self._changed(self.postings.unionByName(new).distinct())
+        """With the documents (doc_id, text) added. A doc_id that the index knows gains the keys that are new to it; rows with a null one are left out."""
+        new = lines_of(docs, self.min_chars).select("doc_id", "h1", "h2").distinct()
+        if self.by_doc.versions:
+            ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+            known = self.by_doc.read(self.spark, _values(ids.select(self._of_doc().alias("s")), "s")).join(ids, "doc_id", "left_semi")
+            new = new.join(known.drop("shard"), ["doc_id", "h1", "h2"], "left_anti")
+        new = save(new)
+        own = self if self.shards else replace(self, shards=max(SHARDS, -(-new.count() // SHARD_ROWS)))
+        keyed = new.withColumn("shard", own._of_key())
+        by_doc = own.by_doc.put(new.withColumn("shard", own._of_doc()).select("shard", "doc_id", "h1", "h2"))
+        by_key = own.by_key.put(keyed.select("shard", "h1", "h2", "doc_id"))
+        more = keyed.groupBy("shard", "h1", "h2").agg(F.count(F.lit(1)).alias("refs"), F.max("doc_id").alias("last"))
+        touched = _values(keyed, "shard")
+        both = own.counts.read(self.spark, touched).unionByName(more)
+        return own._counted(touched, both.groupBy("shard", "h1", "h2").agg(F.sum("refs").alias("refs"), F.max("last").alias("last")), by_doc, by_key)
 
     def delete(self, ids: DataFrame) -> LineIndex:
-        """Without the documents of ids (doc_id)."""
-        return self._changed(self.postings.join(ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_anti").select("h1", "h2", "doc_id"))
-
-    def _changed(self, postings: DataFrame) -> LineIndex:
-        postings = save(postings)
-        shard = F.pmod(F.xxhash64("h2", "h1"), F.lit(self.shards)).cast("int")
-        refs = save(postings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("refs"), F.max("doc_id").alias("last")).select(shard.alias("shard"), "h1", "h2", "refs", "last"))
+        """Without the documents of ids (doc_id); those that the index does not know change nothing."""
+        ids = ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+        if not self.by_doc.versions:
+            return self
+        places = _values(ids.select(self._of_doc().alias("s")), "s")
+        held = self.by_doc.read(self.spark, places)
+        gone = save(held.join(ids, "doc_id", "left_semi").withColumn("shard", self._of_key()))
+        touched = _values(gone, "shard")
+        by_key = self.by_key.put(self.by_key.read(self.spark, touched).join(gone.drop("shard"), ["h1", "h2", "doc_id"], "left_anti"), touched)
+        keys = gone.select("shard", "h1", "h2").distinct()
+        again = by_key.read(self.spark, touched).join(keys, ["shard", "h1", "h2"], "left_semi").groupBy("shard", "h1", "h2").agg(F.count(F.lit(1)).alias("refs"), F.max("doc_id").alias("last"))
+        same = self.counts.read(self.spark, touched).join(keys, ["shard", "h1", "h2"], "left_anti")
+        return self._counted(touched, same.unionByName(again), self.by_doc.put(held.join(ids, "doc_id", "left_anti"), places), by_key)
+
+    def _counted(self, touched: frozenset[int], counts: DataFrame, by_doc: Sharded, by_key: Sharded) -> LineIndex:
+        """With these counts in the place of those of the shards, and the shards' filters brought in line with them."""
+        key = ["shard", "h1", "h2"]
+        table = self.counts.put(counts, touched)
         often = F.col("refs") >= self.min_docs
-        was, now = (x.filter(often).select("shard", "h1", "h2") for x in (self.refs, refs))
-        changes = now.join(was, ["shard", "h1", "h2"], "left_anti").withColumn("step", F.lit(1)).unionByName(was.join(now, ["shard", "h1", "h2"], "left_anti").withColumn("step", F.lit(-1)))
+        was, now = (t.read(self.spark, touched).filter(often).select(*key) for t in (self.counts, table))
+        changes = now.join(was, key, "left_anti").withColumn("step", F.lit(1)).unionByName(was.join(now, key, "left_anti").withColumn("step", F.lit(-1)))
 
         def update(filters: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
             shard = int((filters if len(filters) else keys)["shard"].iloc[0])
@@ -146,7 +237,7 @@ class LineIndex:
             held.remove(gone)
             return pd.DataFrame({"shard": [shard], "data": [held.write() if held.add(added) else None]})
 
-        filters = save(self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(update, "shard int, data binary"))
+        filters = save(self.filters.read(self.spark, touched).groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(update, "shard int, data binary"))
         full = filters.filter("data is null").select("shard")
 
         def remake(keys: pd.DataFrame) -> pd.DataFrame:
@@ -157,15 +248,15 @@ class LineIndex:
 
         if not full.isEmpty():
             again = now.join(full, "shard", "left_semi").groupBy("shard").applyInPandas(remake, "shard int, data binary")
-            filters = save(filters.filter("data is not null").unionByName(again))
-        return LineIndex(postings, refs, filters, self.min_chars, self.min_docs, self.shards, self.send_bytes)
+            filters = filters.filter("data is not null").unionByName(again)
+        return replace(self, by_doc=by_doc, by_key=by_key, counts=table, filters=self.filters.put(filters, touched))
 
     def _maybe_dropped(self, lines: DataFrame) -> DataFrame:
         """The lines that the filters don't rule out."""
-        lines = lines.withColumn("shard", F.pmod(F.xxhash64("h2", "h1"), F.lit(self.shards)).cast("int"))
-        size = self.filters.agg(F.sum(F.length("data"))).first()[0] or 0
+        lines, filters = lines.withColumn("shard", self._of_key()), self.filters.read(self.spark)
+        size = filters.agg(F.sum(F.length("data"))).first()[0] or 0
         if size <= self.send_bytes:
-            sent = lines.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in self.filters.collect()})
+            sent = self.spark.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in filters.collect()})
 
             def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 filters = {s: Cuckoo.read(data) for s, data in sent.value.items()}
@@ -182,7 +273,7 @@ class LineIndex:
             return lines.mapInPandas(held, ", ".join(f"{c} {t}" for c, t in lines.drop("shard").dtypes))
         # each filter goes ahead of the lines of its shard and salt; with zeros, as nulls would make the hashes floats
         kinds = dict(lines.dtypes)
-        ahead = self.filters.select(*(F.lit(0).cast(t).alias(c) for c, t in kinds.items() if c != "shard"), "shard", "data", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        ahead = filters.select(*(F.lit(0).cast(t).alias(c) for c, t in kinds.items() if c != "shard"), "shard", "data", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         both = lines.withColumn("data", F.lit(None).cast("binary")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).unionByName(ahead)
         dealt = both.repartition(self.shards * SALTS, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("data").isNull())
 
@@ -202,20 +293,27 @@ class LineIndex:
 
     def drops(self, docs: DataFrame) -> DataFrame:
         """(doc_id, text_id, dropped): the positions of lines to drop from each text, if any."""
-        often = self.refs.filter(F.col("refs") >= self.min_docs).select("h1", "h2", "last")
-        found = self._maybe_dropped(lines_of(docs, self.min_chars)).join(often, ["h1", "h2"]).filter("doc_id <> last")
+        if not self.shards:
+            return self.spark.createDataFrame([], "doc_id long, text_id long, dropped array<int>")
+        often = self.refs.filter(F.col("refs") >= self.min_docs).select("h1", "h2", "last", "refs")
+        maybe = self._maybe_dropped(lines_of(docs, self.min_chars))
+        found = join_spread(maybe, often, ["h1", "h2"], "refs", ["doc_id", "pos"]).filter("doc_id <> last")
         return found.groupBy("doc_id", "text_id").agg(F.collect_set("pos").alias("dropped"))
 
     def clean(self, docs: DataFrame) -> DataFrame:
         """docs with `kept_text`, `n_lines` (before) and `n_dropped`.
 
         A null or empty text is one empty line. A key's lines go from all documents but the
-        largest doc_id that holds it, whose lines all stay. Rows with the same doc_id are one
-        document; rows with a null doc_id are not counted and keep all lines.
+        largest doc_id that holds it, whose lines all stay; a line that is in very many documents is dealt among
+        copies of its count. Rows with the same doc_id are one document, repeated ones too; rows with a null
+        doc_id are not counted and keep all lines. Texts are read whole, however long. An empty index drops
+        nothing, and an empty table stays empty. Columns of docs with the names of new ones are replaced.
         """
         text = text_of(F.col("text"))
-        drops = self.drops(docs).select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text"), F.col("dropped").alias("_dropped"))
-        rows = docs.join(drops, (docs["doc_id"].cast("long") == F.col("_doc")) & (F.xxhash64(text) == F.col("_text")), "left")
-        rows = rows.withColumn("_lines", F.split(text, "\n", -1)).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
-        stay = F.expr("transform(array_except(sequence(0, size(_lines) - 1), _dropped), i -> _lines[i])")
-        return rows.withColumn("kept_text", F.when(F.col("n_dropped") > 0, F.array_join(stay, "\n")).otherwise(text)).drop("_doc", "_text", "_dropped", "_lines")
+        doc, text_id, dropped, lines = free_names(docs, "doc", "text_id", "dropped", "lines")
+        drops = self.drops(docs).select(F.col("doc_id").alias(doc), F.col("text_id").alias(text_id), F.col("dropped").alias(dropped))
+        rows = docs.select(without(docs, "kept_text", "n_lines", "n_dropped"))
+        rows = rows.join(drops, (rows["doc_id"].cast("long") == F.col(doc)) & (F.xxhash64(text_of(rows["text"])) == F.col(text_id)), "left")
+        rows = rows.withColumn(lines, F.split(text, "\n", -1)).withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size(dropped), F.lit(0)).cast("long"))
+        stay = F.expr(f"transform(array_except(sequence(0, size(`{lines}`) - 1), `{dropped}`), i -> `{lines}`[i])")
+        return rows.withColumn("kept_text", F.when(F.col("n_dropped") > 0, F.array_join(stay, "\n")).otherwise(text)).drop(doc, text_id, dropped, lines)
