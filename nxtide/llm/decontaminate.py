@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nxtide.llm.common import words_of
+from nxtide.llm.common import sided, text_of, words_of
 from nxtide.llm.simhash import balls, segment_value, segments_of
 
 SHINGLE, RADIUS, SEGMENTS, SIMILARITY = 5, 17, 6, 0.8
@@ -28,42 +28,46 @@ def hashed_shingles(words: str, width: int) -> str:
     return f"if(size({words}) < {width}, array(), transform(sequence(0, size({words}) - {width}), i -> xxhash64({parts})))"
 
 
-def _sided(df: DataFrame) -> DataFrame:
-    """df, with a broadcast hint if it is proved small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
-def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, similarity: float = SIMILARITY) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, similarity: float = SIMILARITY, send_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rows (doc_id, item_id, start_word, n_words, distance, similarity): the best window of a document for each item that it holds.
 
     docs: (doc_id, text); items: (item_id, text). A window is as long as an item has words
-    (all of the text, if that is shorter) and starts at each word where it has a shingle of
-    an item of its length in common: others have similarity 0 and so can't be returned. Its
-    fingerprint meets those of items in an index of `segments` blocks of bits. The items'
+    (all of the text, if that is shorter). Those are fingerprinted that have a shingle of an item of their
+    length at its place in the item: an exact join on shingles thins out the windows before their
+    fingerprints are made, as a window without a common shingle has similarity 0. A window's fingerprint meets those of items in an index of `segments` blocks of bits. The items'
     side lists each value within radius // segments bits of its own for a block, so
     that by the pigeonhole principle every item within the radius is found, whatever its length.
     The exact similarity is that of the two bags of shingles: the sum of lesser over the sum
     of greater counts. An item of fewer than SHINGLE words has one shingle of all its words.
-    Null texts are empty; a text or item without words has no windows. Rows repeated are one
-    document; null ids are ids like others.
+    Of several windows as similar the nearest fingerprint, then the first counts.
+
+    The benchmark's side of each join is broadcast if counted to have at most `send_rows` rows. Where its
+    shingles have more, the documents' shingles are shuffled, each with its place only, and windows are cut from
+    the texts again afterwards. Null texts are empty; a text or item without words has no windows. Texts
+    are read whole, however long. Rows repeated are one document; null ids are ids like others. Without
+    documents or items there are no rows; further columns are not read.
     """
     named = items.select("item_id", words_of(F.col("text")).alias("iw")).filter("size(iw) > 0").withColumn("n_item", F.size("iw")).withColumn("width", F.least("n_item", F.lit(SHINGLE)))
     widths = sorted(r[0] for r in named.select("width").distinct().collect())  # five at most
     if not widths:
         return docs.sparkSession.createDataFrame([], docs.select("doc_id").schema.add(items.schema["item_id"]).add("start_word", "integer").add("n_words", "integer").add("distance", "integer").add("similarity", "double"))
-    texts = docs.select("doc_id", words_of(F.col("text")).alias("ws"))
+    texts = docs.select("doc_id", F.xxhash64(text_of(F.col("text"))).alias("text_id"), words_of(F.col("text")).alias("ws"))
     windows, wanted = [], []
     for width in widths:
         own = named.filter(F.col("width") == width).withColumn("item_hs", F.expr(hashed_shingles("iw", width)))
         wanted.append(own)
-        marks = _sided(own.select("n_item", F.posexplode("item_hs").alias("at", "h")).distinct())
+        marks = own.select("n_item", F.posexplode("item_hs").alias("at", "h")).distinct()
         hashed = texts.withColumn("all_hs", F.expr(hashed_shingles("ws", width))).withColumn("n_words", F.size("ws")).drop("ws")
-        # outer: else a filter on the array's size would be pushed down and make the array once for each of its elements
-        found = hashed.select("doc_id", "all_hs", "n_words", F.posexplode_outer("all_hs").alias("pos", "h")).join(marks, "h")
         start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n_words") - F.col("n_item")))
-        windows.append(
-            found.withColumn("start_word", start).select("doc_id", "start_word", F.least("n_words", "n_item").alias("n_words"), F.lit(width).alias("width"), F.expr(f"slice(all_hs, start_word + 1, least(n_words, n_item) - {width - 1})").alias("hs"))
-        )
+        window = [F.col("start_word"), F.least("n_words", "n_item").alias("n_words"), F.lit(width).alias("width"), F.expr(f"slice(all_hs, start_word + 1, least(n_words, n_item) - {width - 1})").alias("hs")]
+        # outer: else a filter on the array's size would be pushed down and make the array once for each of its elements
+        if marks.limit(send_rows + 1).count() <= send_rows:
+            found = hashed.select("doc_id", "all_hs", "n_words", F.posexplode_outer("all_hs").alias("pos", "h")).join(F.broadcast(marks), "h")
+            windows.append(found.withColumn("start_word", start).select("doc_id", *window))
+        else:
+            found = hashed.select("doc_id", "text_id", "n_words", F.posexplode_outer("all_hs").alias("pos", "h")).join(marks, "h")
+            starts = found.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"), "n_item", start.alias("start_word")).distinct()
+            windows.append(hashed.join(starts, F.expr("doc_id <=> _id and text_id = _text")).select("doc_id", *window))
     window, item = windows[0], wanted[0]
     for w, i in zip(windows[1:], wanted[1:]):
         window, item = window.unionByName(w), item.unionByName(i)
@@ -72,9 +76,9 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, segments: int
     blocks = list(enumerate(segments_of(64, segments)))
     kept = [f"({i}L << 40) | ({segment_value('fp', o, w)})" for i, (o, w) in blocks]
     listed = ", ".join(f"transform(array({','.join(f'{m}L' for m in balls(w, radius // segments))}), m -> ({i}L << 40) | (({segment_value('item_fp', o, w)}) ^ m))" for i, (o, w) in blocks)
-    index = _sided(item.select("item_id", "width", "item_fp", F.explode(F.expr(f"concat({listed})")).alias("key")))
+    index = sided(item.select("item_id", "width", "item_fp", F.explode(F.expr(f"concat({listed})")).alias("key")), send_rows)
     near = window.withColumn("key", F.explode(F.array(*map(F.expr, kept)))).join(index, ["key", "width"]).filter(f"bit_count(fp ^ item_fp) <= {radius}")
     pairs = near.select("doc_id", "start_word", "n_words", "hs", "item_id", "width", F.expr("bit_count(fp ^ item_fp)").alias("distance")).distinct()
-    checked = pairs.join(_sided(item.select(F.col("item_id").alias("_id"), F.col("width").alias("_width"), "item_hs").distinct()), F.expr("item_id <=> _id and width = _width")).withColumn("similarity", F.expr(WEIGHTED)).filter(F.col("similarity") >= similarity)
+    checked = pairs.join(sided(item.select(F.col("item_id").alias("_id"), F.col("width").alias("_width"), "item_hs").distinct(), send_rows), F.expr("item_id <=> _id and width = _width")).withColumn("similarity", F.expr(WEIGHTED)).filter(F.col("similarity") >= similarity)
     best = F.max_by(F.struct("start_word", "n_words", "distance", "similarity"), F.struct("similarity", -F.col("distance"), -F.col("start_word")))
     return checked.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
