@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nxtide.llm.common import text_of
+from nxtide.llm.common import free_names, text_of, without
 
 #: Labelled rows of each class that the model is fitted to at most, and the features that it has at most.
 SAMPLE, FEATURES = 4000, 1024
@@ -52,24 +52,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FEATURES) -> Severity:
     """Fits to at most `sample` labelled documents of each class, those with the least hashes of their doc_id.
 
-    docs: (doc_id, text); labels: (doc_id, toxic 0/1). Rows with nulls, and labels without a
-    document, take no part. Features are those that tell the classes apart best, by the
-    log-likelihood ratio of how many documents of each have them. If the sample has a larger
-    share of one class than of the other, the cuts are moved to make up for it. Clean documents have grade 0. The labels don't grade toxic
-    ones: their grade is the third that the number of toxic features among theirs falls in.
-    Without both classes the model finds everything clean.
+    docs: (doc_id, text); labels: (doc_id, toxic). Where labels grade, toxic is 0 for clean and 1 to
+    GRADES - 1 for what is the worse the higher (more counts as the highest), and these are the grades. Where they
+    only say 0 or 1, a toxic document's grade is how much toxic vocabulary it has: the third that the number of
+    toxic features among its own falls in. Rows with nulls, and labels without a document, take no part;
+    of several labels of a document the worst counts, of several texts of one the least. Features are those that
+    tell toxic from clean best (ties: in order), by the log-likelihood ratio of how many documents of each have them.
+    If the sample has a larger share of one class than of the other, the cuts are moved to make up for it. Without
+    both classes, or without documents, the model finds everything clean.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("sample"))
-    drawn = [marked.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample) for c in (0, 1)]
-    drawn = F.broadcast(drawn[0].unionByName(drawn[1]))
+    drawn = [marked.filter(c).orderBy(order, "doc_id").limit(sample) for c in ("toxic = 0", "toxic > 0")]
+    drawn = F.broadcast(drawn[0].unionByName(drawn[1]).withColumn("grade", F.least("toxic", F.lit(GRADES - 1))).withColumn("toxic", (F.col("toxic") > 0).cast("int")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).join(drawn, "doc_id")
 
     @F.pandas_udf("array<string>")
     def features(column: pd.Series) -> pd.Series:
         return column.map(lambda t: sorted(features_of(t)))
 
-    rows = texts.select("doc_id", "toxic", features("text").alias("f")).dropDuplicates(["doc_id"]).persist()
+    single = texts.groupBy("doc_id", "toxic", "grade").agg(F.min("text").alias("text"))
+    rows = single.select("doc_id", "toxic", "grade", features("text").alias("f")).persist()
     try:
         sizes = dict(rows.groupBy("toxic").count().collect())
         if len(sizes) < 2:
@@ -85,17 +88,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
         names = {r["f"]: i for i, r in enumerate(best)}
         pro = np.array([r["odds"] > 1 for r in best] or [False])
         chosen = F.broadcast(rows.sparkSession.createDataFrame([(r["f"], i) for i, r in enumerate(best)] or [("", -1)], "f string, i int"))
-        held = rows.select("doc_id", "toxic", F.explode_outer("f").alias("f")).join(chosen, "f", "left").groupBy("doc_id", "toxic").agg(F.collect_list("i").alias("i")).collect()
+        held = rows.select("doc_id", "toxic", "grade", F.explode_outer("f").alias("f")).join(chosen, "f", "left").groupBy("doc_id", "toxic", "grade").agg(F.collect_list("i").alias("i")).collect()
     finally:
         rows.unpersist()
     held.sort(key=lambda r: r["doc_id"])
     lists = [np.array(sorted(r["i"]), np.int64) for r in held]
     y = np.array([r["toxic"] for r in held])
-    signs = np.array([pro[x].sum() for x in lists])
-    edges = np.quantile(signs[y == 1], [1 / 3, 2 / 3])
-    grade = np.where(y == 0, 0, 1 + np.searchsorted(edges, signs, side="left"))
+    grade = np.array([r["grade"] for r in held])
+    if grade.max() == 1:
+        signs = np.array([pro[x].sum() for x in lists])
+        edges = np.quantile(signs[y == 1], [1 / 3, 2 / 3])
+        grade = np.where(y == 0, 0, 1 + np.searchsorted(edges, signs, side="left"))
     weights, cuts = _fit_cumulative(lists, grade, len(best))
-    known = dict(marked.filter(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect())
+    known = dict(marked.filter("toxic >= 0").groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect())
     cuts = [float(c + np.log((toxic / known[1]) / (clean / known[0]))) for c in cuts]
     return Severity({f: float(weights[i]) for f, i in names.items() if weights[i]}, cuts)
 
@@ -129,7 +134,9 @@ def _fit_cumulative(rows: list[np.ndarray], grade: np.ndarray, n: int, steps: in
 def score(docs: DataFrame, model: Severity) -> DataFrame:
     """docs with `expected_severity` (0 to GRADES - 1), `severity` (the likeliest grade), `p_toxic` and `toxic` (p_toxic >= 0.5).
 
-    Null and empty texts have no features. Whole texts are read, row by row.
+    Null and empty texts have no features. Whole texts are read, row by row, so repeated and very long ones need nothing
+    special; of grades that are as likely the lower one counts. An empty table stays empty. Columns of docs with the
+    names of new ones are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -140,5 +147,6 @@ def score(docs: DataFrame, model: Severity) -> DataFrame:
             p = model.grades(np.array([model.score(t) for t in texts]))
             yield pd.DataFrame({"expected_severity": p @ np.arange(GRADES), "severity": p.argmax(axis=1).astype(np.int32), "p_toxic": 1 - p[:, 0]})
 
-    out = docs.withColumn("_graded", graded(text_of(F.col("text"))))
-    return out.select(*docs.columns, "_graded.*").withColumn("toxic", F.col("p_toxic") >= 0.5)
+    (found,) = free_names(docs, "graded")
+    kept = without(docs, "expected_severity", "severity", "p_toxic", "toxic")
+    return docs.withColumn(found, graded(text_of(F.col("text")))).select(*kept, f"{found}.*").withColumn("toxic", F.col("p_toxic") >= 0.5)
