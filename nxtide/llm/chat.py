@@ -47,8 +47,9 @@ def format_chats(turns: DataFrame, path: str) -> DataFrame:
     A turn is <|turn|> role <|text|> text <|end|>. Roles and texts are escaped and encoded
     one by one, turn by turn, wherever the rows are; ids of control strings are put between
     them and come from nowhere else. The mask is 1 on the ids of an assistant's text. Turns
-    are in order of turn (null first), then role, then ids; repeated rows stay. Null roles and
-    texts are empty, and a null conv_id is a conversation. A conversation is one row.
+    are in order of turn (null first), then role, then text; repeated rows stay. Null roles and
+    texts are empty, and a null conv_id is a conversation. A conversation is one row, however long; an
+    empty table gives none. Further columns are not read.
     """
 
     @F.pandas_udf("struct<role_ids: array<int>, text_ids: array<int>>")
@@ -65,7 +66,7 @@ def format_chats(turns: DataFrame, path: str) -> DataFrame:
         return pd.DataFrame({"input_ids": [a for a, _ in out], "loss_mask": [b for _, b in out]})
 
     rows = turns.select("conv_id", "turn", text_of(F.col("role")).alias("role"), text_of(F.col("text")).alias("text"))
-    rows = rows.select("conv_id", F.struct("turn", "role", encoded("role", "text").alias("e")).alias("t"))
+    rows = rows.select("conv_id", F.struct("turn", "role", "text", encoded("role", "text").alias("e")).alias("t"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     learned = F.transform("ts", lambda t: F.struct(t["e"]["role_ids"].alias("role_ids"), t["e"]["text_ids"].alias("text_ids"), (t["role"] == LEARNED).alias("learned")))
     return chats.select("conv_id", F.size("ts").cast("long").alias("n_turns"), assembled(learned).alias("a")).select("conv_id", "n_turns", "a.*")
