@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from nxtide.llm.common import save, text_of
+from nxtide.llm.common import join_spread, save, text_of
 
 #: Documents, about, from which frequent pre-tokens are taken, and how many of those each task holds at most. Both are for speed: counts don't depend on them.
 SAMPLE, HOT = 8192, 1 << 17
@@ -40,12 +40,16 @@ class Pretokens:
         first, second = spec["pre_tokenizer"]["pretokenizers"]
         if kinds != ["NFC", "Replace", "Lowercase"] or (first["type"], second["type"]) != ("Split", "ByteLevel") or first["behavior"] != "Removed" or not first["invert"] or spec["post_processor"] or spec["truncation"] or spec["padding"]:
             raise ValueError(f"{path} splits texts in another way than this operator")
-        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
+        if any(t["normalized"] and t["content"] != t["content"].lower() or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path} has special strings that are found in another way")
+        strings = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.begins = sorted({s[:2] for s in strings})
+        self.special = regex.compile("|".join(map(regex.escape, strings)) or "(?!)")
         self.pattern = regex.compile(first["pattern"]["Regex"])
 
     def counts(self, text: str) -> tuple[Counter, int]:
         """How often each pre-token occurs, and how many special strings there are."""
-        parts = self.special.split(text) if "<|" in text else [text]
+        parts = self.special.split(text) if any(b in text for b in self.begins) else [text]
         found: Counter = Counter()
         for part in parts:
             # one code point at a time, as the library does: a capital sigma has one lower-case form
@@ -64,14 +68,14 @@ def pieces_of(words: list[str], path: str) -> list[int]:
 
 
 def piece_counts(words: DataFrame, path: str) -> DataFrame:
-    """(word, pieces) for words (word) that are distinct."""
+    """words (word, further columns), of which each is one row, with `pieces`."""
 
     @F.pandas_udf("long")
     def pieces(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in frames:
             yield pd.Series(pieces_of(column.tolist(), path), dtype="int64")
 
-    return words.select("word", pieces("word").alias("pieces"))
+    return words.withColumn("pieces", pieces("word"))
 
 
 def frequent_words(docs: DataFrame, path: str, sample: int, most: int) -> list[str]:
@@ -93,8 +97,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, sample: int = S
 
     Each distinct pre-token is encoded once. Counts of at most `hot` frequent ones go to
     every task, which sums them as it splits a text; others are rows (row, word, frequency),
-    joined to the table of their counts by a shuffle. No ids of a text are ever made. A null
-    or empty text has no tokens. Each row is counted by itself, whatever its doc_id.
+    joined to the table of their counts by a shuffle, in which a word that very many rows have is dealt
+    among copies of its count. No ids of a text are ever made. A null or empty text has no tokens. Each row is
+    counted by itself, whole, whatever its doc_id, so repeated rows and null ids need nothing special. An
+    empty table gives no rows; further columns are not read.
     """
     spark: SparkSession = docs.sparkSession
     words = frequent_words(docs, path, sample, hot)
@@ -122,7 +128,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, sample: int = S
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     rows = save(texts.mapInPandas(split, "row long, doc_id long, n_bytes long, known long, rare array<struct<word: string, n: long>>"))
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    pieces = piece_counts(rare.select("word").distinct(), path)
-    sums = rare.join(pieces, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
+    words = rare.groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
+    pieces = save(piece_counts(words, path))
+    sums = join_spread(rare, pieces, ["word"], "rows", ["row"]).groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
     total = F.col("known") + F.coalesce("more", F.lit(0))
     return rows.join(sums, "row", "left").select("doc_id", "n_bytes", total.cast("long").alias("n_tokens"), (total > limit).alias("over_limit"))
