@@ -53,17 +53,58 @@ def test_pieces_equal_the_other_library(spark, docs, odd):
     assert sentencepieces.encode(docs.limit(0), path).count() == 0
 
 
-def test_unigram_models_are_rebuilt():
-    def field(number, data):
-        return bytes([number << 3 | 2, len(data)]) + data if isinstance(data, bytes) else bytes([number << 3, data])
+def field(number, data):
+    size = bytes([len(data) & 127 | 128, len(data) >> 7]) if isinstance(data, bytes) and len(data) > 127 else bytes([len(data)]) if isinstance(data, bytes) else b""
+    return bytes([number << 3 | 2]) + size + data if isinstance(data, bytes) else bytes([number << 3, data])
+
+
+def piece(text, score, kind=1):
+    return field(1, field(1, text.encode()) + bytes([2 << 3 | 5]) + np.float32(score).tobytes() + field(3, kind))
+
+
+def model(kind, pieces, bytes_too=True, squeeze=1):
+    """The file of a model of that kind (1 unigram, 2 BPE), with control pieces and user-defined ones."""
+    held = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3) + piece("<sep>", 0, 4) + piece("ab", 0, 4)
+    held += b"".join(piece(f"<0x{i:02X}>", 0, 6) for i in range(256)) if bytes_too else b""
+    return held + b"".join(piece(p, s) for p, s in pieces) + field(2, field(3, kind) + b"\x98\x02\x01") + field(3, field(3, 1) + field(4, squeeze) + field(5, 1))
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEF<>/0123456789x.,"
+PIECES = {
+    1: [(c, -9 - i / 50) for i, c in enumerate(dict.fromkeys(LETTERS))] + [("▁", -3), ("▁the", -4), ("quick", -6), ("▁quick", -5.5), ("qu", -7), ("foo", -6.5), ("▁foo", -6), ("oo", -7.5), ("th", -7.25), ("▁b", -5)],
+    2: [("qu", -1), ("▁t", -2), ("he", -3), ("▁the", -4), ("qui", -5), ("ck", -6), ("quick", -7), ("▁quick", -8), ("fo", -9), ("foo", -10), ("▁foo", -11)] + [(c, -20 - i) for i, c in enumerate(dict.fromkeys("▁" + LETTERS))],
+}
+SAYINGS = ["quick<sep>foo", "the quick <sep> foo", "<s>quick</s><unk>", "  the  quick   ", "abc cab abab", "<sep>", "<sep><sep>the", "quick é 日本 <0x41> foo", "", " ", "the <se p> ab", "foo\nbar the", "xquickx▁the"]
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("squeeze", [0, 1])
+def test_models_with_control_and_user_defined_pieces(tmp_path, kind, squeeze):
+    import sentencepiece
+
+    data = model(kind, PIECES[kind], squeeze=squeeze)
+    own, rebuilt = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepieces.Loaded(data)
+    rng = random.Random(kind)
+    words = ["the", "quick", "foo", "ab", "<sep>", "<s>", " ", "  ", "é", "x", "boo", "."]
+    texts = SAYINGS + ["".join(rng.choices(words, k=rng.randrange(1, 30))) for _ in range(300)]
+    assert [i.tolist() for i in rebuilt.encode(texts)] == [own.encode(t) for t in texts]
+    path = tmp_path / "m.model"
+    path.write_bytes(data)
+    sentencepieces.verify(str(path))
+
+
+def test_models_that_are_not_known(tmp_path):
+    with pytest.raises(ValueError):
+        sentencepieces.Loaded(model(2, PIECES[2]) + piece("zz", -30, 5))
+    with pytest.raises(ValueError):
+        sentencepieces.Loaded(model(1, PIECES[1]) + piece("a b", 0, 4))
 
-    def piece(text, score, kind=1):
-        return field(1, field(1, text.encode()) + bytes([2 << 3 | 5]) + np.float32(score).tobytes() + field(3, kind))
 
+def test_unigram_models_are_rebuilt():
     data = piece("<unk>", 0, 2) + b"".join(piece(f"<0x{i:02X}>", -20, 6) for i in range(256)) + piece("▁a", -1) + piece("b", -2) + piece("▁ab", -2.5) + piece("▁", -3) + field(2, field(3, 1)) + field(3, field(3, 1) + field(4, 0) + field(5, 1))
     own = sentencepieces.Model(data)
     assert own.kind == sentencepieces.UNIGRAM
-    assert [own.pieces[i][0] for i in own.tokenizer().encode("ab b", add_special_tokens=False).ids] == ["▁ab", "▁", "b"]
+    assert [own.pieces[i][0] for i in next(sentencepieces.Loaded(data).encode(["ab b"]))] == ["▁ab", "▁", "b"]
 
 
 # 2
@@ -167,6 +208,23 @@ def test_lines_are_inserted_and_deleted(spark, send):
     assert cleaned(without.insert(make(b)), rows) == brute_lines(rows)
 
 
+def test_changes_touch_few_shards(spark):
+    make = lambda rs: spark.createDataFrame(rs, "doc_id long, text string")
+    rows = [(i, f"line {i // 3} of the many that there are\nand line {i} that is in no other") for i in range(300)]
+    index = line_dedup.LineIndex.empty(spark, shards=64).insert(make(rows))
+    more = index.insert(make([(900, "line 7 of the many that there are\na line that is quite new here")]))
+    for table in ("by_key", "counts"):
+        assert len(getattr(more, table).versions[-1][1]) <= 2 and getattr(more, table).versions[0][:2] == getattr(index, table).versions[0][:2]
+    touched = more.counts.versions[-1][1]
+    read, all_ = index.counts.read(spark, touched).count(), index.counts.read(spark).count()
+    assert all_ == 400 and read < 40
+    less = more.delete(make([(900, None)]).select("doc_id"))
+    assert len(less.counts.versions[-1][1]) <= 2
+    assert sorted(map(tuple, less.refs.collect())) == sorted(map(tuple, index.refs.collect()))
+    assert index.delete(make([(12345, None)]).select("doc_id")).refs.count() == 400
+    assert {r["doc_id"]: r["n_dropped"] for r in more.clean(make(rows)).filter("n_dropped > 0").collect()} == {i: 1 for i in range(300) if i % 3 < 2 or i == 23}
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(2)
     keys = rng.integers(-(2**63), 2**63, 3000)
@@ -192,7 +250,8 @@ def test_lines_of_odd_rows(spark, odd):
 
 def test_neighbours_recall_and_order(spark, tiny):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    index = neighbours.NearestIndex.build(table, sample=128, probes=64)
+    index = neighbours.NearestIndex.build(table, sample=128, probes=64, rows=20)
+    assert index.tree.leaves > 8
     got = {}
     for r in index.search(index.vectors.filter("vec_id % 20 = 0").select("vec_id", "v")).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -223,7 +282,7 @@ def test_neighbours_are_all_there_for_skewed_vectors(spark):
 
 def test_neighbours_probes_are_not_fitted_to(spark, monkeypatch):
     fitted, fit = [], neighbours.Tree.fit.__func__
-    monkeypatch.setattr(neighbours.Tree, "fit", classmethod(lambda cls, x: fitted.append(len(x)) or fit(cls, x)))
+    monkeypatch.setattr(neighbours.Tree, "fit", classmethod(lambda cls, x, rows: fitted.append(len(x)) or fit(cls, x, rows)))
     for n, probes in ((100, 30), (20, 30), (1, 30)):
         neighbours.NearestIndex.build(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(n)], "vec_id long, embedding array<double>"), probes=probes)
     assert fitted == [70, 10, 1]
@@ -456,6 +515,32 @@ def test_matrix(counts):
     assert m.sum(axis=1).tolist() == counts and np.ptp(m.sum(axis=0)) <= 1 and (m >= 0).all()
 
 
+@pytest.mark.parametrize("good, bad, n", [(30, 50, 20), (5, 5, 5), (1000, 3, 500), (7, 9000, 600)])
+def test_large_draws_have_the_exact_law(good, bad, n):
+    from math import comb
+
+    low, high = max(0, n - bad), min(n, good)
+    law = np.array([comb(good, x) * comb(bad, n - x) / comb(good + bad, n) for x in range(low, high + 1)])
+    rng = np.random.default_rng(3)
+    seen = np.bincount([sharding._draw_large(rng, good, bad, n) - low for _ in range(4000)], minlength=len(law))
+    often = law * 4000 > 5
+    assert ((seen - law * 4000) ** 2 / (law * 4000))[often].sum() < often.sum() + 4.5 * (2 * often.sum()) ** 0.5
+    assert all(abs(np.exp(sharding._log_chance(low + i, good, bad, n)) - p) <= 1e-12 + 1e-9 * p for i, p in enumerate(law))
+
+
+def test_draws_of_very_many():
+    rng, good, bad, n = np.random.default_rng(4), 10**12, 3 * 10**12, 5 * 10**11
+    x = np.array([sharding._draw_large(rng, good, bad, n) for _ in range(500)], float)
+    sd = (n * 0.25 * 0.75 * (good + bad - n) / (good + bad - 1)) ** 0.5
+    assert abs(x.mean() - n * 0.25) < 5 * sd / 500**0.5 and 0.85 < x.std() / sd < 1.15
+
+
+def test_partitions_grow_with_the_rows(spark):
+    rows = sharding.shuffle_to_shards(spark.range(3000).withColumnRenamed("id", "doc_id"), ["doc_id"], 3, rows_in_part=2).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(3000))
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(1000)) for k in range(3))
+
+
 # 10
 
 
@@ -493,11 +578,19 @@ def test_leaks(spark):
     docs += [(100, None), (101, ""), (102, items[4][1]), (102, items[4][1]), (None, items[5][1]), (103, " ".join(items[5][1].split()[:55]))]
     df = spark.createDataFrame([(d, t, 1.0) for d, t in docs], "doc_id long, text string, similarity double")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench).collect()}
-    assert got == brute_leaks(docs, items)
+    for send in (decontaminate.BROADCAST_ROWS, 0):
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench, send_rows=send).collect()}
+        assert got == brute_leaks(docs, items)
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_the_table(spark, tiny, docs):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
+    shingles = {tuple(w[j : j + 5]) for _, t in items for w in [t.lower().split()] for j in range(len(w) - 4)}
+    maybe = [(d, t) for d, t in texts(docs) if any(tuple(w[j : j + 5]) in shingles for w in [t.lower().split()] for j in range(len(w) - 4))]
+    assert {(r["doc_id"], r["item_id"]) for r in queries.op10_decontamination(spark, tiny).collect()} == brute_leaks(maybe, items)
+
+
 # the pipeline
 
 
