@@ -21,8 +21,9 @@ SAMPLE, PROBES, BRANCH, RECALL = 16384, 256, 8, 0.95
 ROWS, LEAST_LEAVES, FIT = 512, 32, 128
 #: Leaves at most, as each task holds the tree (some 4 bytes a dimension and leaf). Beyond MOST_LEAVES x ROWS rows leaves are larger.
 MOST_LEAVES = 1 << 16
-#: Vectors in a block of a leaf, and queries in a part of those that visit it, that are scored together.
-BLOCK, QUERIES = 1024, 1024
+#: Groups of neighbouring leaves that vectors are dealt into at least, the numbers that one may hold (a group's vectors, or a block of
+#: them, are in memory together), queries that visit a group and are in memory together, and those of them that are scored together.
+GROUPS, VALUES, QUERIES, SCORED = 16, 1 << 22, 1024, 64
 
 
 @dataclass
@@ -89,6 +90,17 @@ class Tree:
             for s, child in zip((self.centres[node] @ q).tolist(), self.children[node]):
                 heapq.heappush(queue, (-s, next(serial), child))
 
+    def in_order(self) -> list[int]:
+        """The leaves, those of a branch side by side."""
+        out, todo = [], [0 if self.centres else -1]
+        while todo:
+            node = todo.pop()
+            if node < 0:
+                out.append(-1 - node)
+            else:
+                todo += reversed(self.children[node])
+        return out
+
     def best_bins(self, q: np.ndarray, visits: int, counts: np.ndarray, least: int) -> list[int]:
         """Leaves, best first: `visits` of them, and on until they hold `least` vectors by counts, or there are no more."""
         out, held = [], 0
@@ -126,8 +138,8 @@ def products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _top(q: np.ndarray, ids: np.ndarray, rows: np.ndarray, rough: np.ndarray, own, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and products of the k best of rows for q but for `own`; rough: products that may be off in their last digits."""
-    other = np.flatnonzero(ids != own)
+    """Places and products of the k best of rows for q but for `own`; rough: products that may be off in their last digits, -inf for rows that are left out."""
+    other = np.flatnonzero((ids != own) & (rough > -np.inf))
     if len(other) > k:
         least = np.partition(rough[other], len(other) - k)[len(other) - k]
         other = other[rough[other] >= least - 1e-9 * (1 + abs(least))]
@@ -216,45 +228,67 @@ class NearestIndex:
         k vectors and as many as have its id. Ties go to the smaller vec_id. Of several queries with an id
         the one with the least vector counts. scored: the vectors that its leaves hold.
 
-        A leaf's vectors are dealt into blocks by a hash of their ids, about BLOCK of them in each, and
-        the queries that visit it into parts likewise; a block and a part meet in one group, which
-        gives at most k rows for a query. So a leaf that holds many of all vectors is many groups.
+        Neighbouring leaves are a group of a bounded number of vectors; the vectors of a leaf that holds more are dealt
+        into blocks by a hash of their ids, and the queries that visit a group into parts likewise. A block and a part
+        meet in one task, which scores each query with the vectors of its own leaves and gives at most k rows for it.
         """
-        spark, visits = queries.sparkSession, self.visits
-        sent = spark.sparkContext.broadcast((self.tree, self.counts))
-
-        @F.pandas_udf("struct<leaves: array<long>, scored: long>")
-        def bins(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-            tree, counts = sent.value
+        spark, visits, counts = queries.sparkSession, self.visits, self.counts
+        width = self.vectors.select(F.size("v")).first()
+        most = VALUES // max(1, width[0] if width else 1)
+        size = max(1, min(most, int(counts.sum()) // GROUPS))
+        order = np.array(self.tree.in_order())
+        group = np.empty(len(order), np.int64)
+        group[order] = (np.cumsum(counts[order]) - counts[order]) // size
+        sent = spark.sparkContext.broadcast((self.tree, counts, group))
+
+        @F.pandas_udf("array<struct<grp: long, leaves: array<long>, scored: long>>")
+        def bins(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            tree, counts, group = sent.value
             for column, own in frames:
-                found = [tree.best_bins(np.asarray(v, np.float64), visits, counts, k + n) for v, n in zip(column, own)]
-                yield pd.DataFrame({"leaves": found, "scored": [int(counts[f].sum()) for f in found]})
+                out = []
+                for v, n in zip(column, own):
+                    leaves = np.array(tree.best_bins(np.asarray(v, np.float64), visits, counts, k + n))
+                    seen = int(counts[leaves].sum())
+                    out.append([{"grp": int(g), "leaves": leaves[group[leaves] == g].tolist(), "scored": seen} for g in np.unique(group[leaves])])
+                yield pd.Series(out)
 
         repeated = self.vectors.groupBy("vec_id").agg(F.count(F.lit(1)).alias("_own")).filter("_own > 1")
         single = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-        asked = single.join(repeated, "vec_id", "left").select("vec_id", "v", bins("v", F.coalesce("_own", F.lit(1)).cast("long")).alias("b"))
-        asked = save(asked.select("vec_id", "v", "b.scored", F.explode("b.leaves").alias("leaf")))
-        # a row for each leaf, MOST_LEAVES at most
-        parts = F.broadcast(asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts")))
-        blocks = F.broadcast(spark.createDataFrame([(i, -(-int(n) // BLOCK)) for i, n in enumerate(self.counts.tolist())], "leaf long, blocks int"))
+        asked = single.join(repeated, "vec_id", "left").select("vec_id", "v", F.explode(bins("v", F.coalesce("_own", F.lit(1)).cast("long"))).alias("b"))
+        asked = save(asked.select("vec_id", "v", "b.grp", "b.leaves", "b.scored"))
+        # a row for each leaf or group, MOST_LEAVES at most
+        parts = F.broadcast(asked.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts")))
+        held = np.bincount(group, counts, int(group.max()) + 1)
+        blocks = F.broadcast(spark.createDataFrame([(i, max(1, -(-int(n) // most))) for i, n in enumerate(held.tolist())], "grp long, blocks int"))
+        places = F.broadcast(spark.createDataFrame(list(enumerate(group.tolist())), "leaf long, grp long"))
 
         def dealt(rows: DataFrame, mine: str, others: str, salt: str) -> DataFrame:
             own = F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(f"{mine}s")).cast("int").alias(mine)
-            both = rows.join(parts, "leaf").join(blocks, "leaf")
+            both = rows.join(parts, "grp").join(blocks, "grp")
             return both.select(*rows.columns, own, F.explode(F.sequence(F.lit(0), F.col(f"{others}s") - 1)).alias(others))
 
         def scored(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
             out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
             if len(qs) and len(xs):
-                q, x, ids = _matrix(qs["v"]), _matrix(xs["v"]), xs["vec_id"].to_numpy()
-                rough = q @ x.T
-                for i, (own, seen) in enumerate(zip(qs["vec_id"].tolist(), qs["scored"].tolist())):
-                    at, score = _top(q[i], ids, x, rough[i], own, k)
-                    out.append((np.full(len(at), own), ids[at], score, np.full(len(at), seen)))
+                xs = xs.sort_values("leaf", kind="stable")
+                x, ids, leaf = _matrix(xs["v"]), xs["vec_id"].to_numpy(), xs["leaf"].to_numpy()
+                leaves, starts = np.unique(leaf, return_index=True)
+                ends = np.append(starts[1:], len(leaf))
+                for i in range(0, len(qs), SCORED):
+                    some = qs.iloc[i : i + SCORED]
+                    q, rough = _matrix(some["v"]), np.full((len(some), len(ids)), -np.inf)
+                    wanted = np.stack([np.isin(leaves, w) for w in some["leaves"]])
+                    for j, (a, b) in enumerate(zip(starts, ends)):
+                        who = np.flatnonzero(wanted[:, j])
+                        if len(who):
+                            rough[who, a:b] = q[who] @ x[a:b].T
+                    for n, (own, seen) in enumerate(zip(some["vec_id"].tolist(), some["scored"].tolist())):
+                        at, score = _top(q[n], ids, x, rough[n], own, k)
+                        out.append((np.full(len(at), own), ids[at], score, np.full(len(at), seen)))
             return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("query_id", "vec_id", "score", "scored"))})
 
-        key = ["leaf", "part", "block"]
-        met = dealt(asked, "part", "block", "queries").groupBy(*key).cogroup(dealt(self.vectors, "block", "part", "rows").groupBy(*key))
+        key = ["grp", "part", "block"]
+        met = dealt(asked, "part", "block", "queries").groupBy(*key).cogroup(dealt(self.vectors.join(places, "leaf"), "block", "part", "rows").groupBy(*key))
         found = met.applyInPandas(scored, "query_id long, vec_id long, score double, scored long")
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         best = found.withColumn("rank", rank).filter(F.col("rank") <= k)
