@@ -142,6 +142,8 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 #: Bits that a segment may have, the share of pairs of the least similarity that segments are to find, and the chance matches of a text that are too many.
 WIDTHS, RECALL, MATCHES = (16, 21, 26, 32), 0.99, 4096
+#: Words of a fingerprint at least: the more, the surer the distance of whole fingerprints tells pairs below the similarity apart.
+WORDS = 16
 
 
 class Plan:
@@ -159,7 +161,8 @@ class Plan:
             self.segments = [(w, i * self.width) for w in range(self.words) for i in range(64 // self.width)]
             if texts * len(self.segments) * (self.width + 1) / 2 ** (self.width + 1) <= MATCHES:
                 break
-        self.radius = int(self._bound(64 * self.words, apart, 3.0))
+        self.whole = max(WORDS, self.words)
+        self.radius = int(self._bound(64 * self.whole, apart, 3.0))
         self.word_radius = int(self._bound(64, apart, 3.5))
 
     @staticmethod
@@ -170,7 +173,7 @@ class Plan:
     def keys(self, nodes: DataFrame) -> DataFrame:
         """A row (node, size, root, key, other) for each segment: its number and value, and another word of the fingerprint."""
         mask = (1 << self.width) - 1
-        parts = [f"named_struct('key', ({i}L << 40) | (shiftrightunsigned(fp[{w}], {o}) & {mask}L), 'other', fp[{(w + 1) % self.words}])" for i, (w, o) in enumerate(self.segments)]
+        parts = [f"named_struct('key', ({i}L << 40) | (shiftrightunsigned(fp[{w}], {o}) & {mask}L), 'other', fp[{(w + 1) % self.whole}])" for i, (w, o) in enumerate(self.segments)]
         return nodes.select("node", "size", "root", F.explode(F.expr(f"array({', '.join(parts)})")).alias("k")).select("node", "size", "root", "k.key", "k.other")
 
     def probes(self, keys: DataFrame) -> DataFrame:
@@ -244,7 +247,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         for t in texts:
             distinct = np.unique(shingle_hashes(t, width))  # sets are compared, whatever recurs how often
             words = b" ".join(t.encode().lower().split())
-            out.append((fingerprint(distinct, plan.words), len(distinct), *(xxhash.xxh64_intdigest(words, seed) - (1 << 63) for seed in (1, 2))))
+            out.append((fingerprint(distinct, plan.whole), len(distinct), *(xxhash.xxh64_intdigest(words, seed) - (1 << 63) for seed in (1, 2))))
         return pd.DataFrame(out, columns=["fp", "size", "h1", "h2"]).astype({"size": "int32", "h1": "int64", "h2": "int64"})
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(F.col("text")).alias("text")).filter("doc_id is not null").withColumn("text_id", F.xxhash64("text"))
