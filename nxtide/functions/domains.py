@@ -56,3 +56,13 @@ def encoded(name: Column, size: int = 60) -> Column:
     letters = F.filter(F.split(F.substring(reversed_labels(F.lower(name)), 1, size), ""), lambda c: c != "")
     ids = F.transform(letters, lambda c: F.coalesce(F.array_position(F.array(*map(F.lit, VOCABULARY)), c), F.lit(0)).cast("int"))
     return F.slice(F.concat(ids, F.array_repeat(F.lit(0), size)), 1, size)
+
+
+def without_bidi_marks(text: Column) -> Column:
+    """Without the marks for the direction of writing."""
+    return F.translate(text, "\u200e\u200f\u202a\u202b\u202c\u202d\u202e", "")
+
+
+def first_dot(text: Column, by: str) -> Column:
+    """With the first dot replaced."""
+    return F.regexp_replace(text, r"^([^.]*)\.", f"$1{by}")

@@ -58,3 +58,10 @@ def best_threshold(points: DataFrame, by: tuple = ()) -> DataFrame:
 def detection_shares(df: DataFrame, value: str, limits: DataFrame) -> DataFrame:
     """(th, share): the share of rows above each threshold of a small table, broadcast."""
     return df.crossJoin(F.broadcast(limits)).groupBy("th").agg(F.avg((F.col(value) > F.col("th")).cast("double")).alias("share"))
+
+
+def kernel_density(df: DataFrame, value: str, at: DataFrame, width: float) -> DataFrame:
+    """at (at, further columns; a few points, as each meets all rows) with the Gaussian kernel density of a column there."""
+    spread = F.exp(-F.pow((F.col("at") - F.col(value)) / width, F.lit(2)) / 2)
+    met = df.select(value).filter(F.col(value).isNotNull()).crossJoin(F.broadcast(at))
+    return met.groupBy(*at.columns).agg((F.avg(spread) / F.lit(width * 2.5066282746310002)).alias("density"))

@@ -6,9 +6,10 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VarianceThresholdSelector, VectorAssembler
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nxtide.operators.messages import running_rank
+
 
 def varied(df: DataFrame, features: list[str], threshold: float = 0.0) -> list[str]:
     """The features whose variance is over a threshold."""
@@ -18,8 +19,8 @@ def varied(df: DataFrame, features: list[str], threshold: float = 0.0) -> list[s
 
 def stratified_folds(df: DataFrame, label: str, k: int, identity: str) -> DataFrame:
     """df with fold, in which each class has an equal share; the order is a hash of a row's identity."""
-    order = W.partitionBy(label).orderBy(F.xxhash64(identity), identity)
-    return df.withColumn("fold", (F.row_number().over(order) - 1) % k)
+    place = running_rank(df.withColumn("_order", F.xxhash64(identity)), (label,), F.shiftright("_order", 52), ("_order", identity), "_place")
+    return place.select(*df.columns, (F.col("_place") % k).alias("fold"))
 
 
 def cross_validated(df: DataFrame, label: str, features: list[str], k: int = 5, identity: str = "id", trees: int = 20, seed: int = 1) -> DataFrame:

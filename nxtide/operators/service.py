@@ -59,10 +59,15 @@ def reset(spark: SparkSession, table: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small result as a table of text."""
-    rows = df.limit(most).collect()
-    lines = [df.columns, ["-"] * len(df.columns), *([("" if v is None else str(v)) for v in r] for r in rows)]
-    return "\n".join(f"| {' | '.join(x)} |" for x in lines)
+    """A small result as a table of text; of a larger one, its first `most` rows and a line that says so."""
+    rows = df.limit(most + 1).collect()
+    lines = [df.columns, ["-"] * len(df.columns), *([("" if v is None else str(v)) for v in r] for r in rows[:most])]
+    return "\n".join([*(f"| {' | '.join(x)} |" for x in lines), *([f"(only the first {most} rows)"] if len(rows) > most else [])])
+
+
+def repaired(data: Column) -> Column:
+    """The text in bytes, without those that are no UTF-8. What stood for such a byte before is dropped too."""
+    return F.translate(F.make_valid_utf8(data.cast("string")), "\ufffd", "")
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, fetch: int = 100_000, **options: str) -> DataFrame:

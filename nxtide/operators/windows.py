@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nxtide.functions.packets import NINF, PINF, ZONES, logit, packet_predicate, whitelisted, zone
+from nxtide.operators.messages import running_rank
 
 #: Whitelist ranks up to which a name is left out of a log-likelihood sum.
 LEVELS = (0, 10, 15, 50)
@@ -53,7 +54,9 @@ def multiplier(unique: Column, packet: Column) -> Column:
 
 
 def apply_configs(messages: DataFrame, grid: DataFrame, size: int = 50, model: int = 1) -> DataFrame:
-    """(pcap_id, wnum, cfg, llr, listed): the log-likelihood sum of each window under each configuration.
+    """(pcap_id, wnum, cfg, llr, listed, wcount, dn_bad_0 to dn_bad_4): each window under each configuration, by its names.
+
+    llr: the log-likelihood sum; listed: names on the whitelist; wcount: names; dn_bad: what counts in each zone of the score.
 
     Messages are added up by window and name before they meet the grid, which is small and
     broadcast; partial sums then leave one row for each window and configuration of a task.
@@ -67,7 +70,46 @@ def apply_configs(messages: DataFrame, grid: DataFrame, size: int = 50, model: i
     e = F.col("eps")
     value = F.when(F.coalesce(listed, F.lit(False)), F.col("wl_value")).when(e >= 1, F.col("pinf")).when(e <= 0, F.col("ninf")).otherwise(F.ln(e / (1 - e)))
     more = F.col("nx") * F.col("nx_inc") if "nx_inc" in grid.columns else F.lit(0.0)
-    return met.groupBy("pcap_id", "wnum", "cfg").agg(F.sum(value * multiplier(F.col("unique"), F.col("packet")) + more).alias("llr"), F.count_if(F.coalesce(listed, F.lit(False))).alias("listed"))
+    times = multiplier(F.col("unique"), F.col("packet"))
+    bad = [F.coalesce(F.sum(F.when(zone(e) == z, times)), F.lit(0)).alias(f"dn_bad_{z}") for z in range(len(ZONES) - 1)]
+    return met.groupBy("pcap_id", "wnum", "cfg").agg(F.sum(value * times + more).alias("llr"), F.count_if(F.coalesce(listed, F.lit(False))).alias("listed"), F.count(F.lit(1)).alias("wcount"), *bad)
+
+
+def apply_configs_to_messages(messages: DataFrame, grid: DataFrame, size: int = 50, model: int = 1) -> DataFrame:
+    """As apply_configs(), by messages: those of the configuration's packet type count one by one.
+
+    An NX response has nx_inc added to its score (1 at most) before its logit; a whitelisted name counts in the zone of 0. Messages that
+    are alike in all that matters are added up before they meet the grid, which is small and broadcast.
+    """
+    alike = messages.withColumn("wnum", F.expr(f"fn_req div {size}")).groupBy("pcap_id", "wnum", F.col(f"eps{model}").alias("eps"), F.col("rank_dn").alias("rank"), "is_r", (F.col("rcode") == 3).alias("nx"))
+    met = alike.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(grid))
+    met = met.filter((F.col("packet") == "qr") | ((F.col("packet") == "r") == F.col("is_r")))
+    listed = F.coalesce((F.col("rank") > 0) & (F.col("rank") < F.col("wl_rank")), F.lit(False))
+    more = F.when(F.col("nx"), F.col("nx_inc")).otherwise(0.0) if "nx_inc" in grid.columns else F.lit(0.0)
+    met = met.withColumn("_listed", listed).withColumn("_score", F.least(F.col("eps") + more, F.lit(1.0)))
+    s, n = F.col("_score"), F.col("n")
+    value = F.when(F.col("_listed"), F.col("wl_value")).when(s >= 1, F.col("pinf")).when(s <= 0, F.col("ninf")).otherwise(F.ln(s / (1 - s)))
+    place = zone(F.when(F.col("_listed"), 0.0).otherwise(s))
+    bad = [F.coalesce(F.sum(F.when(place == z, n)), F.lit(0)).alias(f"dn_bad_{z}") for z in range(len(ZONES) - 1)]
+    return met.groupBy("pcap_id", "wnum", "cfg").agg(F.sum(value * n).alias("llr"), F.coalesce(F.sum(F.when(F.col("_listed"), n)), F.lit(0)).alias("listed"), F.sum("n").alias("wcount"), *bad)
+
+
+def detect_zones(applied: DataFrame, limits: DataFrame, by: tuple = ("cfg", "cls", "day")) -> DataFrame:
+    """(by, zone, dn, llr): for each zone what counted in it by score, and the windows whose log-likelihood lies in it.
+
+    applied: windows under configurations with dn_bad_0 to dn_bad_4, llr and the columns of `by`; limits: thresholds() by cfg.
+    A window of a class is added up once, for its day; leave the day out of `by` for all days together.
+    """
+    met = applied.join(F.broadcast(limits.select("cfg", "lo", "mid", "th", "over")), "cfg").withColumn("_zone", llr_zone(F.col("llr")))
+    zones = F.explode(F.array(*(F.struct(F.lit(z).alias("zone"), F.col(f"dn_bad_{z}").cast("long").alias("dn"), (F.col("_zone") == z).cast("long").alias("llr")) for z in range(len(ZONES) - 1))))
+    return met.select(*by, zones.alias("z")).groupBy(*by, "z.zone").agg(F.sum("z.dn").alias("dn"), F.sum("z.llr").alias("llr"))
+
+
+def alarms(zones: DataFrame, value: str = "dn", by: tuple = ("cfg",)) -> DataFrame:
+    """(by, false_alarms, true_alarms): what lies in the upper zones, from the middle one on, of class 0 and of the others."""
+    upper = F.col("zone") >= (len(ZONES) - 1) // 2
+    total = lambda c: F.coalesce(F.sum(F.when(upper & c, F.col(value))), F.lit(0))
+    return zones.groupBy(*by).agg(total(F.col("cls") == 0).alias("false_alarms"), total(F.col("cls") > 0).alias("true_alarms"))
 
 
 def split_by_day(windows: DataFrame, day: int = 0) -> DataFrame:
@@ -76,11 +118,11 @@ def split_by_day(windows: DataFrame, day: int = 0) -> DataFrame:
 
 
 def split_portion(windows: DataFrame, k: int, parts: int, order: tuple = ("pcap_id", "wnum")) -> DataFrame:
-    """Adds train: the k-th of `parts` runs of each class, in order; the last run has the remainder."""
-    place = F.row_number().over(W.partitionBy("cls").orderBy(*order)) - 1
-    size = F.count(F.lit(1)).over(W.partitionBy("cls"))
-    fold = F.least(F.floor(place / F.greatest(F.floor(size / parts), F.lit(1))), F.lit(parts - 1))
-    return windows.withColumn("fold", fold.cast("long")).withColumn("train", fold == k)
+    """Adds train: the k-th of `parts` runs of each class, in order; the last run has the remainder. Ranks are made within values of the order's first column."""
+    sizes = windows.groupBy("cls").agg(F.count(F.lit(1)).alias("_size"))
+    placed = running_rank(windows, ("cls",), F.col(order[0]), order, "_place").join(F.broadcast(sizes), "cls")  # a row for each class
+    fold = F.least(F.floor(F.col("_place") / F.greatest(F.floor(F.col("_size") / parts), F.lit(1))), F.lit(parts - 1)).cast("long")
+    return placed.select(*windows.columns, fold.alias("fold")).withColumn("train", F.col("fold") == k)
 
 
 def kfold(windows: DataFrame, parts: int, test: int, order: tuple = ("pcap_id", "wnum")) -> DataFrame:
