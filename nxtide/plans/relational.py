@@ -128,11 +128,11 @@ def joi10_config_grid(spark, d):
     return grid(spark).withColumnRenamed("unique", "is_unique")
 
 
-@query(f"WITH {FULL}, w AS (SELECT pcap_id, fn_req // 50 AS wnum, dn_id, count(*) AS qr, count(*) FILTER (WHERE NOT is_r) AS q, count(*) FILTER (WHERE is_r) AS r, max(eps1) AS e, max(rank_dn) AS rank FROM m GROUP BY ALL), {GRID_SQL} SELECT pcap_id, wnum, cfg, round(sum((CASE WHEN rank > 0 AND rank < wl_rank THEN wl_value WHEN e >= 1 THEN pinf WHEN e <= 0 THEN ninf ELSE ln(e / (1 - e)) END) * (CASE WHEN uniq THEN 1 WHEN packet = 'q' THEN q WHEN packet = 'r' THEN r ELSE qr END)), 4) AS llr, count(*) FILTER (WHERE rank > 0 AND rank < wl_rank) AS listed FROM w, g GROUP BY pcap_id, wnum, cfg")
+@query(f"WITH {FULL}, w AS (SELECT pcap_id, fn_req // 50 AS wnum, dn_id, count(*) AS qr, count(*) FILTER (WHERE NOT is_r) AS q, count(*) FILTER (WHERE is_r) AS r, max(eps1) AS e, max(rank_dn) AS rank FROM m GROUP BY ALL), {GRID_SQL} SELECT pcap_id, wnum, cfg, round(sum((CASE WHEN rank > 0 AND rank < wl_rank THEN wl_value WHEN e >= 1 THEN pinf WHEN e <= 0 THEN ninf ELSE ln(e / (1 - e)) END) * (CASE WHEN uniq THEN 1 WHEN packet = 'q' THEN q WHEN packet = 'r' THEN r ELSE qr END)), 4) AS llr, count(*) FILTER (WHERE rank > 0 AND rank < wl_rank) AS listed, count(*) AS wcount, " + ", ".join(f"CAST(coalesce(sum(CASE WHEN uniq THEN 1 WHEN packet = 'q' THEN q WHEN packet = 'r' THEN r ELSE qr END) FILTER (WHERE e >= {a} AND e < {b}), 0) AS BIGINT) AS dn_bad_{z}" for z, a, b in ((0, 0, 0.1), (2, 0.25, 0.5), (4, 0.9, 1.1))) + " FROM w, g GROUP BY pcap_id, wnum, cfg")
 def joi11_agg28_windows_by_config(spark, d):
     from nxtide.operators.windows import apply_configs
 
-    return apply_configs(full_messages(spark, d), grid(spark)).withColumn("llr", F.round("llr", 4))
+    return apply_configs(full_messages(spark, d), grid(spark)).select("pcap_id", "wnum", "cfg", F.round("llr", 4).alias("llr"), "listed", "wcount", "dn_bad_0", "dn_bad_2", "dn_bad_4")
 
 
 SERIES = f"{FULL}, hs AS (SELECT pcap_id, CAST(floor(t / 3600) AS BIGINT) AS slot, count(*) AS pn, count(*) FILTER (WHERE eps1 > 0.3) AS pp FROM m GROUP BY ALL)"
@@ -480,10 +480,10 @@ def cry1_sha256(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.length("text").cast("long").alias("n"))
 
 
-@query(f"WITH {SERIES}, j AS (SELECT pcap_id, slot, '[' || array_to_string(list_transform(range(0, pp), lambda i: '''n' || i || ''''), ', ') || ']' AS names FROM hs WHERE pp <= 20) SELECT pcap_id, slot, CAST(sum(len(from_json(replace(names, '''', '\"'), '[\"VARCHAR\"]'))) OVER (PARTITION BY pcap_id ORDER BY slot ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS BIGINT) AS n FROM j")
+@query(f"WITH {SERIES}, j AS (SELECT pcap_id, slot, '[' || array_to_string(list_transform(range(0, pp), lambda i: '''n' || i || ''''), ', ') || ']' AS names FROM hs) SELECT pcap_id, slot, CAST(sum(len(from_json(replace(names, '''', '\"'), '[\"VARCHAR\"]'))) OVER (PARTITION BY pcap_id ORDER BY slot ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS BIGINT) AS n FROM j")
 def arr3_an33_flagged_names(spark, d):
     listed = F.concat(F.lit("["), F.array_join(F.transform(F.when(F.col("pp") > 0, F.sequence(F.lit(0), F.col("pp") - 1)).otherwise(F.array().cast("array<bigint>")), lambda i: F.concat(F.lit("'n"), i.cast("string"), F.lit("'"))), ", "), F.lit("]"))
-    j = series(spark, d).filter("pp <= 20").select("pcap_id", "slot", listed.alias("names"))
+    j = series(spark, d).select("pcap_id", "slot", listed.alias("names"))
     parsed = j.withColumn("names", F.from_json(F.regexp_replace("names", "'", '"'), "array<string>"))
     ahead = W.partitionBy("pcap_id").orderBy("slot").rowsBetween(0, 7)
     return parsed.select("pcap_id", "slot", F.size(F.flatten(F.collect_list("names").over(ahead))).cast("long").alias("n"))
