@@ -1,4 +1,4 @@
-"""ROC curves and areas, by sorting partial counts of distinct scores."""
+"""ROC curves and areas, by sorting partial counts of distinct scores in buckets of thresholds."""
 
 from __future__ import annotations
 
@@ -6,47 +6,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Buckets of near equally many thresholds, each sorted by a task of its own.
+BUCKETS = 256
+
+
+def _bucketed(points: DataFrame, by: tuple) -> DataFrame:
+    """points with _bucket, which rises with the threshold: the number of approximate quantiles below it."""
+    return _in_buckets(points, _bounds(points, by), by).drop("_bounds")
+
+
+def _bounds(points: DataFrame, by: tuple, sums: tuple = ()) -> DataFrame:
+    """A row (by, _bounds and the sums of columns) for each value of by: approximate quantiles of its thresholds."""
+    quantiles = F.percentile_approx("threshold", [i / BUCKETS for i in range(1, BUCKETS)]).alias("_bounds")
+    return points.groupBy(*by).agg(quantiles, *(F.coalesce(F.sum(c), F.lit(0)).alias(f"_{c}") for c in sums))
+
+
+def _in_buckets(points: DataFrame, bounds: DataFrame, by: tuple) -> DataFrame:
+    joined = points.join(bounds, list(by)) if by else points.crossJoin(F.broadcast(bounds))
+    return joined.withColumn("_bucket", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("threshold"))), F.lit(0)))
+
+
+def _with_neighbour(points: DataFrame, by: tuple, names: dict[str, str], after: bool = False) -> DataFrame:
+    """points (with _bucket) with columns of the point before, or after, in falling order of the threshold, under the given names.
+
+    Within a bucket that is a lag; the first point of a bucket has the last one of the bucket before it, of which there is a row each.
+    """
+    shift, end = (F.lead, F.max_by) if after else (F.lag, F.min_by)
+    ends = points.groupBy(*by, "_bucket").agg(end(F.struct(*names), "threshold").alias("_end"))
+    ends = ends.select(*by, "_bucket", shift("_end").over(W.partitionBy(*by).orderBy(F.desc("_bucket"))).alias("_end"))
+    within = shift(F.struct(*names)).over(W.partitionBy(*by, "_bucket").orderBy(F.desc("threshold")))
+    met = points.withColumn("_within", within).join(ends, [*by, "_bucket"])
+    near = F.coalesce("_within", "_end")
+    return met.select(*points.columns, *(near[c].alias(name) for c, name in names.items()))
+
 
 def roc(df: DataFrame, label: str, score: str, by: tuple = (), drop_intermediate: bool = False) -> DataFrame:
     """(by, threshold, tp, fp, tpr, fpr): a point for each distinct score, highest first, after one at infinity.
 
-    Rows are counted for each distinct score first; the running sums are over those counts.
+    Rows are counted for each distinct score first; the running sums are over those counts, within buckets
+    that start at the sums of the buckets above them, so that no task sorts all scores.
     With drop_intermediate, points on a straight line between their neighbours are left out.
     """
     counts = df.groupBy(*by, F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    order = W.partitionBy(*by).orderBy(F.desc("threshold"))
-    running = order.rowsBetween(W.unboundedPreceding, 0)
-    points = counts.select(*by, "threshold", F.sum("p").over(running).alias("tp"), F.sum("n").over(running).alias("fp"))
-    zero = points.groupBy(*by).agg(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
-    if not by:
-        zero = zero.filter(F.lit(True))
-    points = points.withColumn("threshold", F.col("threshold").cast("double")).unionByName(zero)
+    totals = _bounds(counts, by, ("p", "n"))
+    totals = totals.dropna(subset=list(by)) if by else totals
+    counts = _in_buckets(counts, totals, by)
+    above = W.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.groupBy(*by, "_bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    starts = starts.select(*by, "_bucket", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_{c}0") for c in ("p", "n")))
+    running = W.partitionBy(*by, "_bucket").orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
+    tp, fp = (F.sum(c).over(running) + F.col(f"_{c}0") for c in ("p", "n"))
+    points = counts.join(starts, [*by, "_bucket"]).select(*by, F.col("threshold").cast("double").alias("threshold"), tp.alias("tp"), fp.alias("fp"), "_p", "_n")
+    none = F.lit(0).cast("long")
+    points = points.unionByName(totals.select(*by, F.lit(float("inf")).alias("threshold"), none.alias("tp"), none.alias("fp"), "_p", "_n"))
     if drop_intermediate:
-        d = lambda c, f: f(c).over(order) - F.col(c) if f is F.lead else F.col(c) - f(c).over(order)
-        flat = (d("tp", F.lead) == d("tp", F.lag)) & (d("fp", F.lead) == d("fp", F.lag))
-        points = points.withColumn("_flat", F.coalesce(flat, F.lit(False))).filter("not _flat").drop("_flat")
-    totals = df.groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
-    joined = points.join(totals, list(by)) if by else points.crossJoin(totals)
-    return joined.withColumn("tpr", F.try_divide("tp", "_p")).withColumn("fpr", F.try_divide("fp", "_n")).drop("_p", "_n")
+        points = _with_neighbour(_bucketed(points, by), by, {"tp": "_tp0", "fp": "_fp0"})
+        points = _with_neighbour(points, by, {"tp": "_tp1", "fp": "_fp1"}, after=True)
+        flat = F.expr("_tp1 - tp = tp - _tp0 and _fp1 - fp = fp - _fp0")
+        points = points.filter(~F.coalesce(flat, F.lit(False)))
+    return points.select(*by, "threshold", "tp", "fp", F.try_divide("tp", "_p").alias("tpr"), F.try_divide("fp", "_n").alias("fpr"))
+
+
+def _steps(points: DataFrame, by: tuple) -> DataFrame:
+    """points with the rates of the point before: _x0 and _y0."""
+    return _with_neighbour(_bucketed(points, by), by, {"fpr": "_x0", "tpr": "_y0"})
 
 
 def auc(points: DataFrame, by: tuple = ()) -> DataFrame:
     """(by, auc): the area by trapezoids."""
-    order = W.partitionBy(*by).orderBy(F.desc("threshold"))
-    area = (F.col("fpr") - F.lag("fpr").over(order)) * (F.col("tpr") + F.lag("tpr").over(order)) / 2
-    return points.withColumn("_a", area).groupBy(*by).agg(F.sum("_a").alias("auc"))
+    area = (F.col("fpr") - F.col("_x0")) * (F.col("tpr") + F.col("_y0")) / 2
+    return _steps(points, by).withColumn("_a", area).groupBy(*by).agg(F.sum("_a").alias("auc"))
 
 
 def partial_auc(points: DataFrame, max_fpr: float, by: tuple = ()) -> DataFrame:
     """(by, raw, standardised): the area up to max_fpr, interpolated there, and McClish's form of it."""
-    order = W.partitionBy(*by).orderBy(F.desc("threshold"))
-    x0, y0 = F.lag("fpr").over(order), F.lag("tpr").over(order)
-    x1, y1 = F.col("fpr"), F.col("tpr")
+    x0, y0, x1, y1 = F.col("_x0"), F.col("_y0"), F.col("fpr"), F.col("tpr")
     end = F.least(x1, F.lit(max_fpr))
     height = F.when(x1 == x0, y1).otherwise(y0 + (y1 - y0) * F.try_divide(end - x0, x1 - x0))
     area = F.when(x0 <= max_fpr, (end - x0) * (y0 + height) / 2).otherwise(0.0)
     least = 0.5 * max_fpr**2
-    return points.withColumn("_a", area).groupBy(*by).agg(F.sum("_a").alias("raw")).withColumn("standardised", 0.5 * (1 + (F.col("raw") - least) / (max_fpr - least)))
+    return _steps(points, by).withColumn("_a", area).groupBy(*by).agg(F.sum("_a").alias("raw")).withColumn("standardised", 0.5 * (1 + (F.col("raw") - least) / (max_fpr - least)))
 
 
 def best_threshold(points: DataFrame, by: tuple = ()) -> DataFrame:

@@ -85,6 +85,41 @@ def test_roc(spark):
     assert curves.partial_auc(points, 1.0).first()["raw"] == 0.75
 
 
+def plain_roc(rows):
+    """Points (threshold, tp, fp) of (label, score), highest first, after one at infinity."""
+    points = [(float("inf"), 0, 0)]
+    for score in sorted({s for _, s in rows}, reverse=True):
+        points.append((score, sum(y for y, s in rows if s >= score), sum(1 - y for y, s in rows if s >= score)))
+    return points
+
+
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_roc_of_many_scores_equals_plain_sums(spark, by):
+    # most scores lie close together; more of them than there are buckets
+    rows = [(i % 2, (i * 7919 % 13) // 7, round((i * 104729 % 1009) ** 3 / 1009**3, 6)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g int, y int, s double").repartition(4)
+    points, bent = (curves.roc(df, "y", "s", by, drop) for drop in (False, True))
+    for g in (0, 1) if by else (None,):
+        own = [(y, s) for h, y, s in rows if g in (None, h)]
+        at = (lambda f: f.filter(F.col("g") == g)) if by else lambda f: f
+        ranked = lambda f: [tuple(r) for r in at(f).orderBy(F.desc("threshold")).select("threshold", "tp", "fp").collect()]
+        want = plain_roc(own)
+        assert ranked(points) == want
+        flat = [0 < i < len(want) - 1 and all(want[i + 1][k] - want[i][k] == want[i][k] - want[i - 1][k] for k in (1, 2)) for i in range(len(want))]
+        assert ranked(bent) == [w for w, f in zip(want, flat) if not f]
+        (_, tp, fp), steps = want[-1], list(zip(want, want[1:]))
+        area = sum((b[2] - a[2]) * (a[1] + b[1]) / 2 for a, b in steps) / tp / fp
+        assert abs(at(curves.auc(points, by)).first()["auc"] - area) < 1e-9
+        assert abs(at(curves.auc(bent, by)).first()["auc"] - area) < 1e-9
+        assert abs(at(curves.partial_auc(points, 1.0, by)).first()["raw"] - area) < 1e-9
+
+
+def test_roc_without_rows(spark):
+    none = curves.roc(spark.createDataFrame([], "y int, s double"), "y", "s")
+    assert [(r["threshold"], r["tp"], r["tpr"]) for r in none.collect()] == [(float("inf"), 0, None)]
+    assert curves.auc(none).first()["auc"] is None
+
+
 def test_encoder(spark):
     ids = spark.createDataFrame([("a-b.com",)], "dn string").select(encoded(F.col("dn")).alias("x")).first()["x"]
     assert ids == [16, 28, 26, 2, 14, 1, 15] + [0] * 53
