@@ -144,6 +144,8 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
 WIDTHS, RECALL, MATCHES = (16, 21, 26, 32), 0.99, 4096
 #: Words of a fingerprint at least: the more, the surer the distance of whole fingerprints tells pairs below the similarity apart.
 WORDS = 16
+#: Times the nodes that a segment's value has by chance (one at least) from which on it is crowded.
+CROWD = 8
 
 
 class Plan:
@@ -170,31 +172,45 @@ class Plan:
         """Bits in which hardly any pair of that similarity differs more."""
         return bits * apart + deviations * sqrt(bits * apart * (1 - apart))
 
-    def keys(self, nodes: DataFrame) -> DataFrame:
-        """A row (node, size, root, key, other) for each segment: its number and value, and another word of the fingerprint."""
+    def keys(self, nodes: DataFrame, *more: str) -> DataFrame:
+        """A row (node, size, root, key, other) for each segment: its number and value, and another word of the fingerprint; `more` columns follow."""
         mask = (1 << self.width) - 1
         parts = [f"named_struct('key', ({i}L << 40) | (shiftrightunsigned(fp[{w}], {o}) & {mask}L), 'other', fp[{(w + 1) % self.whole}])" for i, (w, o) in enumerate(self.segments)]
-        return nodes.select("node", "size", "root", F.explode(F.expr(f"array({', '.join(parts)})")).alias("k")).select("node", "size", "root", "k.key", "k.other")
+        return nodes.select("node", "size", "root", *more, F.explode(F.expr(f"array({', '.join(parts)})")).alias("k")).select("node", "size", "root", "k.key", "k.other", *more)
 
     def probes(self, keys: DataFrame) -> DataFrame:
         """keys, and those with one bit of the value flipped; of two values one bit apart only that with a 0 there probes for the other."""
         flips = F.array(*(F.lit(m).cast("long") for m in (0, *(1 << b for b in range(self.width)))))
         return keys.withColumn("flip", F.explode(flips)).filter("key & flip = 0").withColumn("key", F.expr("key ^ flip"))
 
+    def first_and_near(self, key: str, a: str, b: str) -> str:
+        """Whether the fingerprints a and b are within the radius and meet in no segment before that of the key."""
+        xor = [f"({a}[{w}] ^ {b}[{w}])" for w in range(self.whole)]
+        distance = " + ".join(f"bit_count({x})" for x in xor)
+        mask = (1 << self.width) - 1
+        before = " or ".join(f"(shiftright({key}, 40) > {i} and bit_count(shiftrightunsigned({xor[w]}, {o}) & {mask}L) <= 1)" for i, (w, o) in enumerate(self.segments[:-1]))
+        return f"{distance} <= {self.radius} and not ({before})"
+
 
 def _near_pairs(nodes: DataFrame, plan: Plan, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes (node, size, fp, root) of different roots that meet in a segment's ball and may be similar; distinct.
 
     A key that very many nodes have is dealt among tasks. Those of its nodes with its commonest root meet
     the others only, in tasks that have a share of them each, so that a large group of near copies, which
-    are of one root by then, is not compared with itself.
+    are of one root by then, is not compared with itself. A node that has a crowded key, as texts do that share
+    passages but are no near copies, carries its whole fingerprint: two of these are a row only if the distance
+    of their whole fingerprints allows it, and in the first segment in which they meet.
     """
-    keys = plan.keys(nodes)
-    by_root = keys.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    limit = max(SPREAD_ROWS, nodes.count() * len(plan.segments) // SPREAD_KEYS)
-    hot = save(by_root.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main")).filter(F.col("n") > limit))
+    total = nodes.count()
+    crowd, limit = CROWD * max(1, total >> plan.width), max(SPREAD_ROWS, total * len(plan.segments) // SPREAD_KEYS)
+    by_root = plan.keys(nodes).groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    counts = save(by_root.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main")).filter(F.col("n") > crowd))
+    hot = counts.filter(F.col("n") > limit)
+    crowded = join_spread(plan.keys(nodes), counts.select("key", "n"), ["key"], "n", ["node"]).select("node").distinct().withColumn("crowded", F.lit(True))
+    keys = plan.keys(save(nodes.join(crowded, "node", "left").withColumn("whole", F.expr("if(crowded, fp, null)"))), "whole")
     condition = F.expr(
         f"p.root <> t.root and (p.flip <> 0 or p.node < t.node) and bit_count(p.other ^ t.other) <= {plan.word_radius} and least(p.size, t.size) >= {similarity} * greatest(p.size, t.size)"
+        f" and (p.whole is null or t.whole is null or ({plan.first_and_near('p.key', 'p.whole', 't.whole')}))"
     )
 
     def met(p: DataFrame, t: DataFrame, on: list[str]) -> DataFrame:
