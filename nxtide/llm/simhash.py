@@ -148,6 +148,11 @@ WORDS = 16
 CROWD = 8
 
 
+def distance(a: str, b: str) -> str:
+    """Bits in which two fingerprints of several words differ."""
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)"
+
+
 class Plan:
     """Segments for so many texts: as many as find pairs of a similarity with the chance RECALL, as wide as keeps chance matches few.
 
@@ -184,12 +189,14 @@ class Plan:
         return keys.withColumn("flip", F.explode(flips)).filter("key & flip = 0").withColumn("key", F.expr("key ^ flip"))
 
     def first_and_near(self, key: str, a: str, b: str) -> str:
-        """Whether the fingerprints a and b are within the radius and meet in no segment before that of the key."""
-        xor = [f"({a}[{w}] ^ {b}[{w}])" for w in range(self.whole)]
-        distance = " + ".join(f"bit_count({x})" for x in xor)
-        mask = (1 << self.width) - 1
-        before = " or ".join(f"(shiftright({key}, 40) > {i} and bit_count(shiftrightunsigned({xor[w]}, {o}) & {mask}L) <= 1)" for i, (w, o) in enumerate(self.segments[:-1]))
-        return f"{distance} <= {self.radius} and not ({before})"
+        """Whether the fingerprints a and b are within the radius and meet in no segment before that of the key.
+
+        In lambdas: written out for each word and segment, the join's method is too long for the JVM to compile.
+        """
+        each, mask = 64 // self.width, (1 << self.width) - 1
+        word, offset = f"cast(i div {each} as int)", f"cast(i % {each} * {self.width} as int)"
+        before = f"exists(sequence(0L, {len(self.segments) - 1}L), i -> i < shiftright({key}, 40) and bit_count(shiftrightunsigned({a}[{word}] ^ {b}[{word}], {offset}) & {mask}L) <= 1)"
+        return f"{distance(a, b)} <= {self.radius} and not {before}"
 
 
 def _near_pairs(nodes: DataFrame, plan: Plan, similarity: float) -> DataFrame:
@@ -321,8 +328,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 def _whole_distance(pairs: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
     """pairs (a, b) with the `distance` of their whole fingerprints and the roots ra and rb, if that is within the radius."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"), (F.col("root") if "root" in nodes.columns else F.col("node")).alias(f"r{c}"))
-    distance = F.expr("aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
-    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("distance", distance).filter(F.col("distance") <= radius).select("a", "b", "ra", "rb", "distance")
+    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("distance", F.expr(distance("fa", "fb"))).filter(F.col("distance") <= radius).select("a", "b", "ra", "rb", "distance")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
