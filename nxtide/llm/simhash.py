@@ -216,8 +216,8 @@ def _near_pairs(nodes: DataFrame, plan: Plan, similarity: float) -> DataFrame:
     crowded = join_spread(plan.keys(nodes), counts.select("key", "n"), ["key"], "n", ["node"]).select("node").distinct().withColumn("crowded", F.lit(True))
     keys = plan.keys(save(nodes.join(crowded, "node", "left").withColumn("whole", F.expr("if(crowded, fp, null)"))), "whole")
     condition = F.expr(
-        f"p.root <> t.root and (p.flip <> 0 or p.node < t.node) and bit_count(p.other ^ t.other) <= {plan.word_radius} and least(p.size, t.size) >= {similarity} * greatest(p.size, t.size)"
-        f" and (p.whole is null or t.whole is null or ({plan.first_and_near('p.key', 'p.whole', 't.whole')}))"
+        f"p.root <> t.root and (p.flip <> 0 or p.node < t.node) and least(p.size, t.size) >= {similarity} * greatest(p.size, t.size)"
+        f" and if(p.whole is null or t.whole is null, bit_count(p.other ^ t.other) <= {plan.word_radius}, {plan.first_and_near('p.key', 'p.whole', 't.whole')})"
     )
 
     def met(p: DataFrame, t: DataFrame, on: list[str]) -> DataFrame:

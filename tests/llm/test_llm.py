@@ -480,6 +480,30 @@ def test_near_duplicates_with_other_repeats(spark):
     assert sorted((r["doc_id"], r["group_id"]) for r in got) == [(k, k // 2 * 2) for k in range(12)]
 
 
+@pytest.mark.parametrize("spread", [1000, 20])
+def test_near_pairs_whatever_nodes_carry(spark, monkeypatch, spread):
+    rng, plan = random.Random(5), simhash.Plan(1000, 0.8)
+    monkeypatch.setattr(simhash, "SPREAD_ROWS", spread)
+    base, rows = [rng.getrandbits(64) for _ in range(plan.whole)], []
+    for node in range(120):  # of all degrees of likeness, within the radius and beyond
+        share = rng.uniform(0.02, 0.2)
+        rows.append((node, 100 + node % 3, node % 40, [w ^ sum((rng.random() < share) << b for b in range(64)) for w in base]))
+    apart = lambda x, y: sum((v ^ w).bit_count() for v, w in zip(x, y))
+    meet = lambda x, y: any(((x[w] ^ y[w]) >> o & (1 << plan.width) - 1).bit_count() <= 1 for w, o in plan.segments)
+    pairs = [(p, t) for p in rows for t in rows if p[0] < t[0] and p[2] != t[2] and meet(p[3], t[3])]
+    within = {(p[0], t[0]) for p, t in pairs if apart(p[3], t[3]) <= plan.radius}
+    signed = [(n, s, r, [w - (1 << 64) * (w >> 63) for w in fp]) for n, s, r, fp in rows]
+    nodes = spark.createDataFrame(signed, "node long, size int, root long, fp array<long>")
+    got = {}
+    for crowd in (0, 8, 10**6):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        found = simhash._near_pairs(nodes, plan, 0.8)
+        got[crowd] = {(r["a"], r["b"]) for r in simhash._whole_distance(found, nodes, plan.radius).collect()}
+        assert crowd or found.count() == len(got[0])
+    assert 100 < len(got[0]) < len(pairs) and got[0] == within
+    assert got[10**6] <= got[8] <= got[0] and len(got[10**6]) >= 0.99 * len(within)
+
+
 def test_simhash_of_odd_rows(spark, odd):
     out = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.fingerprint_components(odd).collect()}
     assert out[(1, 0)] == out[(2, 0)] == out[(3, 0)] == 1
