@@ -279,9 +279,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     nodes = save(by_text.withColumn("node", F.monotonically_increasing_id()))
     alone = nodes.select("node", "size", "fp", F.col("node").alias("root"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of pairs (a, b) that are similar."""
-        pairs = save(_whole_distance(pairs, nodes, plan.radius))
+    def verified(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) that are similar, with the roots ra and rb that they have in placed."""
+        pairs = save(_whole_distance(pairs, placed, plan.radius))
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
         where = save(nodes.select("node", "first.*").join(ends, "node"))
 
@@ -298,26 +298,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
         one = join_spread(pairs, held.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("held").alias("ha")), ["a"], "na", ["b"])
         both = join_spread(one, held.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("held").alias("hb")), ["b"], "nb", ["a"])
-        out = save(both.filter(alike("ha", "hb")).select("a", "b"))
+        out = save(both.filter(alike("ha", "hb")).select("a", "b", "ra", "rb"))
         discard(held)
         discard(pairs)
         return out
 
-    edges = verified(_star_pairs(alone, plan, similarity))
-    roots = connected_components(edges)
-    placed = save(nodes.join(roots, "node", "left").select("node", "size", "fp", F.coalesce("root", "node").alias("root")))
+    placed = _joined(alone, verified(_star_pairs(alone, plan, similarity), alone))
     found = save(_whole_distance(_near_pairs(placed, plan, similarity), placed, plan.radius))
     if not found.isEmpty():
         groups = [F.least("ra", "rb").alias("one"), F.greatest("ra", "rb").alias("two")]
         nearest = found.groupBy(*groups).agg(F.min(F.struct("distance", "a", "b")).alias("m")).select("m.a", "m.b")
-        edges = save(edges.unionByName(verified(nearest)))
-        roots = connected_components(edges)
-        root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        left = found.join(nearest, ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-        left = save(left.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+        placed = _joined(placed, verified(nearest, placed))
+        root_of = lambda c: placed.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        left = found.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(root_of("a"), "a").join(root_of("b"), "b")
+        left = save(left.filter("root_a <> root_b").select("a", "b"))
         if not left.isEmpty():
-            roots = connected_components(edges.unionByName(verified(left)))
-    grouped = nodes.select("node", "h1", "h2", "first", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            placed = _joined(placed, verified(left, placed))
+    grouped = nodes.select("node", "h1", "h2", "first", "n").join(placed.select("node", "root"), "node")
     least = grouped.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("members"))
     by_node = save(join_spread(grouped, least, ["root"], "members", ["node"]).select("h1", "h2", "n", "least"))
     single = rows.groupBy("doc_id", "text_id", "h1", "h2").agg(F.count(F.lit(1)).alias("rows"))
@@ -325,9 +322,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     return out.select("doc_id", "text_id", F.col("least.doc_id").alias("group_id"), (F.struct("doc_id", "text_id") == F.col("least")).alias("kept"), "rows")
 
 
+def _joined(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """placed (node, size, fp, root) with the roots that links (ra, rb) between them join; only they are gone through, not all that was joined before."""
+    roots = connected_components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).withColumnsRenamed({"root": "joined", "node": "root"})
+    members = placed.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    moved = save(roots.join(members, "root"))
+    return save(join_spread(placed, moved, ["root"], "members", ["node"], "left").select("node", "size", "fp", F.coalesce("joined", "root").alias("root")))
+
+
 def _whole_distance(pairs: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
     """pairs (a, b) with the `distance` of their whole fingerprints and the roots ra and rb, if that is within the radius."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"), (F.col("root") if "root" in nodes.columns else F.col("node")).alias(f"r{c}"))
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"), F.col("root").alias(f"r{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("distance", F.expr(distance("fa", "fb"))).filter(F.col("distance") <= radius).select("a", "b", "ra", "rb", "distance")
 
 
