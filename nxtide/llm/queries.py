@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nxtide.llm import chat, decontaminate, html_text, line_dedup, neighbours, sentencepieces, sharding, simhash, token_counts, toxicity
+from nxtide.llm import chat, decontaminate, fill_middle, html_text, line_dedup, neighbours, sentencepieces, sharding, simhash, token_counts, toxicity
 from nxtide.llm.common import table, text_of
 
 #: What is said in conversation -7, added to those of the table.
@@ -74,6 +74,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline  # noqa: F401  the pipeline belongs to this subpackage
 
-    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_chat_format, op4_line_dedup, op5_neighbours, op6_token_counts, op7_html_text, op8_simhash, op9_sharding, op10_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_chat_format, op4_line_dedup, op5_neighbours, op6_token_counts, op7_html_text, op8_simhash, op9_sharding, op10_decontamination, op12_fill_middle, pipeline)}
 
 
 OP3_SQL = r"""
@@ -109,6 +115,17 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN drop
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT coalesce(dropped, false)), '')) AS kept_sha256
 FROM f GROUP BY r"""
 
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, text, u, len(u) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(x, k, 8) AS BIGINT)) AS h FROM t),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op4_line_dedup": OP4_SQL}
+    return {"op3_chat_format": OP3_SQL, "op4_line_dedup": OP4_SQL, "op12_fill_middle": OP12_SQL}
