@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nxtide.llm import chat, decontaminate, fill_middle, html_text, line_dedup, neighbours, sentencepieces, sharding, simhash, token_counts, toxicity
+from nxtide.llm import chat, decontaminate, fill_middle, html_text, line_dedup, neighbours, prefix_trie, sentencepieces, sharding, simhash, token_counts, toxicity
 from nxtide.llm.common import table, text_of
 
 #: What is said in conversation -7, added to those of the table.
@@ -80,6 +80,11 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(prefix_trie.ranked(prefix_trie.hashed(turns))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline  # noqa: F401  the pipeline belongs to this subpackage
 
-    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_chat_format, op4_line_dedup, op5_neighbours, op6_token_counts, op7_html_text, op8_simhash, op9_sharding, op10_decontamination, op12_fill_middle, pipeline)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_chat_format, op4_line_dedup, op5_neighbours, op6_token_counts, op7_html_text, op8_simhash, op9_sharding, op10_decontamination, op12_fill_middle, op13_prefix_trie, pipeline)}
 
 
 OP3_SQL = r"""
@@ -126,6 +131,22 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
   sha256(text) AS restored_sha256
 FROM p"""
 
+OP13_SQL = r"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i,
+  [coalesce(role, ''), coalesce(text, '')] AS turn FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list(turn ORDER BY i) AS turns FROM t GROUP BY c),
+h AS (SELECT c, turns, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: list_transform(range(8), lambda k: (ascii(x) >> k) & 1)))),
+  lambda a, bit: xor(a >> 1, 3988292384 * (xor(a, bit) & 1))), 4294967295) % 9 AS h FROM l),
+r AS (SELECT h.c, list_concat(coalesce(b.turns, [])[1:h.h], h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN l b ON b.c = h.c - h.c % 5),
+p AS (SELECT c, len(turns) AS n, unnest(range(len(turns) + 1)) AS d, turns FROM r),
+q AS (SELECT c, n, d, turns[1:d] AS pre, coalesce(strlen(turns[d][2]), 0) AS bytes FROM p),
+g AS (SELECT pre, any_value(d) AS d, min(c) AS c, count(*) AS n_convs, any_value(bytes) AS bytes, max(n) > any_value(d) AS inner_node,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends FROM q GROUP BY pre),
+u AS (SELECT pre, d, c, n_convs, ends, (n_convs - 1) * bytes AS saved, NOT inner_node AS leaf, unnest(range(d + 1)) AS up FROM g),
+s AS (SELECT pre[1:up] AS pre, sum(saved) AS saved, count(*) FILTER (WHERE leaf) AS leaves, count(*) FILTER (WHERE d = up + 1) AS children FROM u GROUP BY 1)
+SELECT g.c AS conv_id, g.d AS depth, parent.c AS parent_conv_id, g.n_convs, s.children AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, g.ends AS ends_sha256
+FROM g JOIN s ON g.pre = s.pre LEFT JOIN g parent ON g.d > 0 AND parent.pre = g.pre[1:g.d - 1]"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op4_line_dedup": OP4_SQL, "op12_fill_middle": OP12_SQL}
+    return {"op3_chat_format": OP3_SQL, "op4_line_dedup": OP4_SQL, "op12_fill_middle": OP12_SQL, "op13_prefix_trie": OP13_SQL}
