@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nxtide.llm import chat, decontaminate, fill_middle, html_text, line_dedup, neighbours, prefix_trie, sentencepieces, sharding, simhash, token_counts, toxicity
+from nxtide.llm import chat, decontaminate, fill_middle, html_text, language, line_dedup, neighbours, prefix_trie, sentencepieces, sharding, simhash, token_counts, toxicity
 from nxtide.llm.common import table, text_of
 
 #: What is said in conversation -7, added to those of the table.
@@ -74,6 +74,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(text_of(F.col("doc_id"))) % 5 == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(~held_out).select("text", "lang"))
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     back = fill_middle.restore(F.col("output"), F.col("form"))
@@ -94,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline  # noqa: F401  the pipeline belongs to this subpackage
 
-    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_chat_format, op4_line_dedup, op5_neighbours, op6_token_counts, op7_html_text, op8_simhash, op9_sharding, op10_decontamination, op12_fill_middle, op13_prefix_trie, pipeline)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_chat_format, op4_line_dedup, op5_neighbours, op6_token_counts, op7_html_text, op8_simhash, op9_sharding, op10_decontamination, op11_language_id, op12_fill_middle, op13_prefix_trie, pipeline)}
 
 
 OP3_SQL = r"""
