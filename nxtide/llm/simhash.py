@@ -200,7 +200,9 @@ class Plan:
 
 
 def _near_pairs(nodes: DataFrame, plan: Plan, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes (node, size, fp, root) of different roots that meet in a segment's ball and may be similar; distinct.
+    """Pairs (a, b, ra, rb, distance) of nodes (node, size, fp, root) of different roots that meet in a segment's ball and may be similar; distinct.
+
+    The distance of their whole fingerprints is there where both carry them, else it is null.
 
     A key that very many nodes have is dealt among tasks. Those of its nodes with its commonest root meet
     the others only, in tasks that have a share of them each, so that a large group of near copies, which
@@ -222,7 +224,10 @@ def _near_pairs(nodes: DataFrame, plan: Plan, similarity: float) -> DataFrame:
 
     def met(p: DataFrame, t: DataFrame, on: list[str]) -> DataFrame:
         both = p.alias("p").join(t.alias("t"), [F.col(f"p.{c}") == F.col(f"t.{c}") for c in on] + [condition])
-        return both.select(F.least("p.node", "t.node").alias("a"), F.greatest("p.node", "t.node").alias("b"))
+        first = F.col("p.node") < F.col("t.node")
+        roots = (F.when(first, F.col(f"{x}.root")).otherwise(F.col(f"{y}.root")).alias(r) for x, y, r in (("p", "t", "ra"), ("t", "p", "rb")))
+        apart = F.expr(f"if(p.whole is null or t.whole is null, null, {distance('p.whole', 't.whole')})")
+        return both.select(F.least("p.node", "t.node").alias("a"), F.greatest("p.node", "t.node").alias("b"), *roots, apart.alias("distance"))
 
     probes = plan.probes(keys)
     if hot.isEmpty():
@@ -279,9 +284,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     nodes = save(by_text.withColumn("node", F.monotonically_increasing_id()))
     alone = nodes.select("node", "size", "fp", F.col("node").alias("root"))
 
-    def verified(pairs: DataFrame, placed: DataFrame) -> DataFrame:
-        """Those of pairs (a, b) that are similar, with the roots ra and rb that they have in placed."""
-        pairs = save(_whole_distance(pairs, placed, plan.radius))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b, ra, rb) that are similar."""
+        pairs = save(pairs.select("a", "b", "ra", "rb"))
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
         where = save(nodes.select("node", "first.*").join(ends, "node"))
 
@@ -303,17 +308,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         discard(pairs)
         return out
 
-    placed = _joined(alone, verified(_star_pairs(alone, plan, similarity), alone))
-    found = save(_whole_distance(_near_pairs(placed, plan, similarity), placed, plan.radius))
+    placed = _joined(alone, verified(_whole_distance(_star_pairs(alone, plan, similarity), alone, plan.radius)))
+    met = save(_near_pairs(placed, plan, similarity))
+    found = save(met.filter("distance is not null").unionByName(_whole_distance(met.filter("distance is null").select("a", "b"), placed, plan.radius)))
+    discard(met)
     if not found.isEmpty():
         groups = [F.least("ra", "rb").alias("one"), F.greatest("ra", "rb").alias("two")]
-        nearest = found.groupBy(*groups).agg(F.min(F.struct("distance", "a", "b")).alias("m")).select("m.a", "m.b")
-        placed = _joined(placed, verified(nearest, placed))
-        root_of = lambda c: placed.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        left = found.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(root_of("a"), "a").join(root_of("b"), "b")
-        left = save(left.filter("root_a <> root_b").select("a", "b"))
+        nearest = found.groupBy(*groups).agg(F.min(F.struct("distance", "a", "b", "ra", "rb")).alias("m")).select("m.a", "m.b", "m.ra", "m.rb")
+        placed = _joined(placed, verified(nearest))
+        root_of = lambda c: placed.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        left = found.select("a", "b").join(nearest.select("a", "b"), ["a", "b"], "left_anti").join(root_of("a"), "a").join(root_of("b"), "b")
+        left = save(left.filter("ra <> rb"))
         if not left.isEmpty():
-            placed = _joined(placed, verified(left, placed))
+            placed = _joined(placed, verified(left))
     grouped = nodes.select("node", "h1", "h2", "first", "n").join(placed.select("node", "root"), "node")
     least = grouped.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("members"))
     by_node = save(join_spread(grouped, least, ["root"], "members", ["node"]).select("h1", "h2", "n", "least"))
@@ -333,7 +340,7 @@ def _joined(placed: DataFrame, links: DataFrame) -> DataFrame:
 def _whole_distance(pairs: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
     """pairs (a, b) with the `distance` of their whole fingerprints and the roots ra and rb, if that is within the radius."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"), F.col("root").alias(f"r{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("distance", F.expr(distance("fa", "fb"))).filter(F.col("distance") <= radius).select("a", "b", "ra", "rb", "distance")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").withColumn("distance", F.expr(distance("fa", "fb"))).filter(F.col("distance") <= radius).select("a", "b", "ra", "rb", "distance")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
