@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nxtide.operators import service, windows
+from nxtide.operators.scratch import new_path as place
 from nxtide.plans.registry import query
 from nxtide.plans.star import FULL, NAMES, TRAFFIC, full_messages, names, table, traffic
 
 
-def place(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; on a single machine without it, in one of its own. Deleted at the end of the application."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = f"{(folder or tempfile.mkdtemp(prefix='spark-nxtide-')).rstrip('/')}/nxtide-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.mkdirs(at)
-    system.deleteOnExit(at)
-    return path
-
-
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'a \"quoted, name\"' ELSE c_name END AS name, c_acctbal FROM customer")
 def snk1_src8_csv_round_trip(spark, d):
     path, quoted = place(spark), {"quote": '"', "escape": '"', "header": True}

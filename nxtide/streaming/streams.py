@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the windowed operators."""
+"""Structured Streaming forms of the windowed operators. Those with state of their own that wait for late rows are in stateful.py."""
 
 from __future__ import annotations
 
@@ -56,22 +56,3 @@ def count_windows(stream: DataFrame, size: int = 50) -> DataFrame:
 
     counters = "requests long, wnum long, qr long, q long, nx long"
     return stream.groupBy("pcap_id").applyInPandasWithState(step, "pcap_id long, wnum long, qr long, q long, nx long", counters, "append", GroupStateTimeout.NoTimeout)
-
-
-def without_recent(stream: DataFrame, key: str, last: int = 10, by: str = "pcap_id") -> DataFrame:
-    """Rows whose hash isn't among the last `last` distinct ones kept for its group: a ring bounded by count, not by time."""
-    names = stream.columns
-
-    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = list(state.get[0]) if state.exists else []
-        for f in frames:
-            kept = []
-            for h in f["_hash"]:
-                kept.append(h not in ring)
-                if kept[-1]:
-                    ring = [*ring, h][-last:]
-            yield f[kept][names]
-        state.update((ring,))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes)
-    return stream.withColumn("_hash", F.xxhash64(key)).groupBy(by).applyInPandasWithState(step, schema, "ring array<long>", "append", GroupStateTimeout.NoTimeout)
