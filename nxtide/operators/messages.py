@@ -14,12 +14,14 @@ def running_rank(df: DataFrame, by: tuple, bucket: Column, order: tuple, name: s
     """df with a rank from 0 for each value of `by`, in order; the bucket must come first in that order.
 
     Rows are ranked within buckets, and a bucket starts at the counts of those before it: no task sorts a whole group.
+    Nulls are a group, and a bucket (the first one), of their own: keys are held together in a struct, which is never null.
     """
-    keyed = df.withColumn("_bucket", bucket)
-    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = keyed.groupBy(*by, "_bucket").count().select(*by, "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(W.partitionBy(*by, "_bucket").orderBy(*order)) - 1 + F.col("_start")
-    return keyed.join(starts, [*by, "_bucket"]).select(*df.columns, rank.alias(name))
+    keyed = df.withColumn("_at", F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by)), bucket.alias("bucket")))
+    group = [F.col(f"_at.k{i}") for i in range(len(by))]
+    before = W.partitionBy(*group).orderBy("_at.bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = keyed.groupBy("_at").count().select("_at", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(W.partitionBy("_at").orderBy(*order)) - 1 + F.col("_start")
+    return keyed.join(starts, "_at").select(*df.columns, rank.alias(name))
 
 
 def with_first_seen(messages: DataFrame, keys: tuple = ("dn_id",), time: str = "time_s", tie: str = "id") -> DataFrame:
@@ -37,22 +39,24 @@ def with_counters(messages: DataFrame, time: str = "time_s", tie: str = "id") ->
     """Adds fn, a message's place in its capture, and fn_req, the requests before and at it less one (0 at least).
 
     Messages are ranked within an hour of their capture, which starts at the sums of the hours before it, so that
-    no task sorts a whole capture. Messages without a time are left out.
+    no task sorts a whole capture. Those without a time come first in their capture, those without a capture are one; a message
+    that is neither a request nor a response counts as no request.
     """
-    keyed = messages.withColumn("_hour", F.floor(F.col(time) / HOUR).cast("long"))
-    hours = keyed.groupBy("pcap_id", "_hour").agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("is_r")).alias("_q"))
-    before = W.partitionBy("pcap_id").orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)
-    starts = hours.select("pcap_id", "_hour", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_n", "_q")))
-    order = W.partitionBy("pcap_id", "_hour").orderBy(time, tie)
-    running = F.sum((~F.col("is_r")).cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)) + F.col("_q0")
-    joined = keyed.join(starts, ["pcap_id", "_hour"])
+    request = F.coalesce(~F.col("is_r"), F.lit(False))
+    keyed = messages.withColumn("_at", F.struct("pcap_id", F.floor(F.col(time) / HOUR).cast("long").alias("hour")))
+    hours = keyed.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"), F.count_if(request).alias("_q"))
+    before = W.partitionBy("_at.pcap_id").orderBy("_at.hour").rowsBetween(W.unboundedPreceding, -1)
+    starts = hours.select("_at", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_n", "_q")))
+    order = W.partitionBy("_at").orderBy(time, tie)
+    running = F.sum(request.cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)) + F.col("_q0")
+    joined = keyed.join(starts, "_at")
     return joined.select(*messages.columns, (F.row_number().over(order) - 1 + F.col("_n0")).cast("long").alias("fn"), F.greatest(running - 1, F.lit(0)).alias("fn_req"))
 
 
 def with_translated_time(messages: DataFrame, time: str = "time_s") -> DataFrame:
     """Adds time_s_translated: seconds since the first message of the capture. Only one row of a capture is joined to its messages."""
-    first = messages.groupBy("pcap_id").agg(F.min(time).alias("_first"))
-    return messages.join(first, "pcap_id", "left").select(*messages.columns, (F.col(time) - F.col("_first")).alias("time_s_translated"))
+    first = messages.groupBy("pcap_id").agg(F.min(time).alias("_first")).withColumnRenamed("pcap_id", "_pcap")
+    return messages.join(first, F.col("pcap_id").eqNullSafe(F.col("_pcap")), "left").select(*messages.columns, (F.col(time) - F.col("_first")).alias("time_s_translated"))
 
 
 def scores_by_name(dn_nn: DataFrame, value: str = "value") -> DataFrame:

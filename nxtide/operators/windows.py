@@ -120,7 +120,9 @@ def split_by_day(windows: DataFrame, day: int = 0) -> DataFrame:
 def split_portion(windows: DataFrame, k: int, parts: int, order: tuple = ("pcap_id", "wnum")) -> DataFrame:
     """Adds train: the k-th of `parts` runs of each class, in order; the last run has the remainder. Ranks are made within values of the order's first column."""
     sizes = windows.groupBy("cls").agg(F.count(F.lit(1)).alias("_size"))
-    placed = running_rank(windows, ("cls",), F.col(order[0]), order, "_place").join(F.broadcast(sizes), "cls")  # a row for each class
+    sizes = sizes.withColumnRenamed("cls", "_cls")  # a row for each class, null too
+    ranked = running_rank(windows, ("cls",), F.col(order[0]), order, "_place")
+    placed = ranked.join(F.broadcast(sizes), ranked["cls"].eqNullSafe(sizes["_cls"]))
     fold = F.least(F.floor(F.col("_place") / F.greatest(F.floor(F.col("_size") / parts), F.lit(1))), F.lit(parts - 1)).cast("long")
     return placed.select(*windows.columns, fold.alias("fold")).withColumn("train", F.col("fold") == k)
 
