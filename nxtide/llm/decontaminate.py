@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nxtide.llm.common import sided, text_of, words_of
+from nxtide.llm.common import join_spread, save, sided, text_of, words_of
 from nxtide.llm.simhash import balls, segment_value, segments_of
 
-SHINGLE, RADIUS, SEGMENTS, SIMILARITY = 5, 17, 6, 0.8
+SHINGLE, RADIUS, SEGMENTS, SIMILARITY = 5, 23, 6, 0.8
 #: Rows of the benchmark's side of a join up to which it is broadcast (some 100 bytes a row); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -32,9 +32,10 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, segments: int
     """Rows (doc_id, item_id, start_word, n_words, distance, similarity): the best window of a document for each item that it holds.
 
     docs: (doc_id, text); items: (item_id, text). A window is as long as an item has words
-    (all of the text, if that is shorter). Those are fingerprinted that have a shingle of an item of their
-    length at its place in the item: an exact join on shingles thins out the windows before their
-    fingerprints are made, as a window without a common shingle has similarity 0. A window's fingerprint meets those of items in an index of `segments` blocks of bits. The items'
+    (all of the text, if that is shorter), and starts at any word. An exact join on shingles thins out the windows before their fingerprints
+    are made: bags of a and b shingles with similarity s have at least s / (1 + s) * (a + b) in common, so that
+    only windows are left in which so many places have a shingle of some item of that length, in whatever order. None that
+    reaches the similarity is lost by that. A window's fingerprint meets those of items in an index of `segments` blocks of bits. The items'
     side lists each value within radius // segments bits of its own for a block, so
     that by the pigeonhole principle every item within the radius is found, whatever its length.
     The exact similarity is that of the two bags of shingles: the sum of lesser over the sum
@@ -42,8 +43,9 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, segments: int
     Of several windows as similar the nearest fingerprint, then the first counts.
 
     The benchmark's side of each join is broadcast if counted to have at most `send_rows` rows. Where its
-    shingles have more, the documents' shingles are shuffled, each with its place only, and windows are cut from
-    the texts again afterwards. Null texts are empty; a text or item without words has no windows. Texts
+    shingles have more, the documents' shingles are shuffled, each with its place only, and those that very many
+    places have are dealt among tasks. Windows are cut from the texts of the documents that have any, which are
+    hashed once more. Null texts are empty; a text or item without words has no windows. Texts
     are read whole, however long. Rows repeated are one document; null ids are ids like others. Without
     documents or items there are no rows; further columns are not read.
     """
@@ -56,18 +58,28 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, segments: int
     for width in widths:
         own = named.filter(F.col("width") == width).withColumn("item_hs", F.expr(hashed_shingles("iw", width)))
         wanted.append(own)
-        marks = own.select("n_item", F.posexplode("item_hs").alias("at", "h")).distinct()
-        hashed = texts.withColumn("all_hs", F.expr(hashed_shingles("ws", width))).withColumn("n_words", F.size("ws")).drop("ws")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n_words") - F.col("n_item")))
-        window = [F.col("start_word"), F.least("n_words", "n_item").alias("n_words"), F.lit(width).alias("width"), F.expr(f"slice(all_hs, start_word + 1, least(n_words, n_item) - {width - 1})").alias("hs")]
+        marks = own.select("n_item", F.explode("item_hs").alias("h")).distinct()
+        hashed = texts.select("doc_id", "text_id", F.size("ws").alias("n_words"), F.expr(hashed_shingles("ws", width)).alias("all_hs"))
         # outer: else a filter on the array's size would be pushed down and make the array once for each of its elements
+        shingles = hashed.select("doc_id", "text_id", "n_words", F.posexplode_outer("all_hs").alias("pos", "h"))
         if marks.limit(send_rows + 1).count() <= send_rows:
-            found = hashed.select("doc_id", "all_hs", "n_words", F.posexplode_outer("all_hs").alias("pos", "h")).join(F.broadcast(marks), "h")
-            windows.append(found.withColumn("start_word", start).select("doc_id", *window))
+            found = shingles.join(F.broadcast(marks), "h")
         else:
-            found = hashed.select("doc_id", "text_id", "n_words", F.posexplode_outer("all_hs").alias("pos", "h")).join(marks, "h")
-            starts = found.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"), "n_item", start.alias("start_word")).distinct()
-            windows.append(hashed.join(starts, F.expr("doc_id <=> _id and text_id = _text")).select("doc_id", *window))
+            lists = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("hits")).join(marks.groupBy("h").agg(F.collect_list("n_item").alias("lengths")), "h")
+            found = join_spread(shingles, save(lists), ["h"], "hits", ["doc_id", "text_id", "pos"]).withColumn("n_item", F.explode("lengths"))
+        held = found.groupBy("doc_id", "text_id", "n_words", "n_item").agg(F.sort_array(F.collect_set("pos")).alias("ps"))
+        size, all_ = F.least("n_words", "n_item") - (width - 1), F.col("n_item") - (width - 1)
+        held = held.withColumn("size", size).withColumn("need", F.greatest(F.ceil((size + all_) * (similarity / (1 + similarity)) - 1e-9), F.lit(1)).cast("int")).filter("size(ps) >= need")
+        # a window has `need` places if it reaches from the last of so many in a row back to the first
+        spans = "transform(sequence(0, size(ps) - need), i -> struct(greatest(0, ps[i + need - 1] - size + 1) as a, least(ps[i], greatest(0, n_words - n_item)) as b))"
+        starts = held.select("doc_id", "text_id", "n_item", F.explode(F.array_distinct(F.flatten(F.expr(f"transform(filter({spans}, x -> x.a <= x.b), x -> sequence(x.a, x.b))")))).alias("start_word"))
+        starts = save(starts)
+        few = starts.limit(send_rows + 1).count() <= send_rows
+        by_doc = starts.groupBy(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text")).agg(F.collect_list(F.struct("n_item", "start_word")).alias("cuts"))
+        cut = texts.join(F.broadcast(by_doc) if few else by_doc, F.expr("doc_id <=> _id and text_id = _text"))
+        cut = cut.select("doc_id", F.size("ws").alias("n_words"), F.expr(hashed_shingles("ws", width)).alias("all_hs"), "cuts")
+        cut = cut.select("doc_id", "n_words", "all_hs", F.explode("cuts").alias("c")).select("doc_id", "all_hs", F.col("c.start_word").alias("start_word"), F.least("n_words", "c.n_item").alias("n_words"), F.lit(width).alias("width"))
+        windows.append(cut.select("doc_id", "start_word", "n_words", "width", F.expr(f"slice(all_hs, start_word + 1, n_words - {width - 1})").alias("hs")))
     window, item = windows[0], wanted[0]
     for w, i in zip(windows[1:], wanted[1:]):
         window, item = window.unionByName(w), item.unionByName(i)
