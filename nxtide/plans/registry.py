@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
-MODULES = ("relational", "detection", "more", "zones", "files", "streamed", "searches")
+MODULES = ("relational", "detection", "more", "zones", "files", "streamed", "searches", "loads")
 
 
 def query(sql: str | None = None) -> Callable:

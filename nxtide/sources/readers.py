@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.udtf import UserDefinedTableFunction
 
+from nxtide.sources.headed import read_headed
+
 RAW_MESSAGE = "time double, size int, protocol string, src string, dst string, qr string, AA string, rcode int, fnreq long, qdcount int, ancount int, nscount int, arcount int, qcode int, dn string, answer string"
 CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
 
@@ -105,12 +107,6 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("data", F.when(F.sha2("data", 256) == F.col("sha256"), F.col("data")).otherwise(F.raise_error(F.concat(F.lit("damaged object "), F.col("name"))).cast("binary")))
 
 
-def flattened(df: DataFrame, levels: int) -> DataFrame:
-    """A CSV read without header whose first rows are `levels` header rows, as columns named by their parts joined by _."""
-    head = df.limit(levels).collect()
-    names = ["_".join(p for p in (r[i] for r in head) if p and p != "-") or f"c{i}" for i in range(len(df.columns))]
-    first = head[0]
-    body = df.filter(~F.col(df.columns[0]).eqNullSafe(first[0]) | ~F.col(df.columns[-1]).eqNullSafe(first[-1]))
-    for r in head[1:]:
-        body = body.filter(~F.col(df.columns[0]).eqNullSafe(r[0]) | ~F.col(df.columns[-1]).eqNullSafe(r[-1]))
-    return body.toDF(*names)
+def flattened(spark: SparkSession, path: str, levels: int) -> DataFrame:
+    """CSV files whose first `levels` rows are header rows, as columns named by their parts joined by _. See sources/headed.py."""
+    return read_headed(spark, path, levels)

@@ -90,6 +90,6 @@ def test_archive_lists_tables_objects(spark, tmp_path):
     assert [r["cells"] for r in spark.sql(f"SELECT * FROM html_table(\"{html}\", 'x')").collect()] == [["A", "B"], ["1 2", "3"]]
     readers.write_objects(spark.createDataFrame([("o", b"data")], "name string, data binary"), str(tmp_path / "o"))
     assert readers.read_objects(spark, str(tmp_path / "o")).first()["data"] == b"data"
-    (tmp_path / "w.csv").write_text("id,eps,eps\n-,TLD,ICANN\n1,0.5,0.6\n")
-    flat = readers.flattened(spark.read.csv(str(tmp_path / "w.csv")), 2)
-    assert flat.columns == ["id", "eps_TLD", "eps_ICANN"] and flat.count() == 1
+    (tmp_path / "w.csv").write_text("id,eps,eps\n-,TLD,ICANN\n1,0.5,0.6\nid,0.5,eps\n-,TLD,ICANN\n")  # rows like header rows are rows
+    flat = readers.flattened(spark, str(tmp_path / "w.csv"), 2)
+    assert flat.columns == ["id", "eps_TLD", "eps_ICANN"] and sorted(tuple(r) for r in flat.collect()) == [("-", "TLD", "ICANN"), ("1", "0.5", "0.6"), ("id", "0.5", "eps")]
