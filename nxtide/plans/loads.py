@@ -1,15 +1,15 @@
-"""Queries over slot pairs of all captures, the wide window table as a file, and a load that fails and goes on."""
+"""Queries over slot pairs of all captures, the wide window table as a file, a load that fails and goes on, and fitted models."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nxtide.operators import pairs, windows
+from nxtide.operators import learning, pairs, scoring, windows
 from nxtide.operators.scratch import new_path
 from nxtide.plans.detection import WIN
 from nxtide.plans.registry import query
 from nxtide.plans.relational import FILLED, filled, r6
-from nxtide.plans.star import full_messages, table
+from nxtide.plans.star import full_messages, hosts, table
 from nxtide.sources import headed
 from nxtide.streaming import resume
 
@@ -108,3 +108,18 @@ def snk12_resumed_load(spark, d):
             raise
     resume.start_load(stream, *places).awaitTermination()
     return resume.loaded(spark, *places[:2], rows.schema).drop("batch_id")
+
+
+@query()
+def an29_one_class_svm(spark, d):
+    """Windows by the side of a one-class SVM on which they lie, fitted to those of class 0; a test holds it against a plain solver."""
+    w = windows.window_profile(full_messages(spark, d)).withColumn("cls", F.col("pcap_id") % 3)
+    features = [f"llr_{k}_{n}" for k in MODELS for n in (0, 50)]
+    model = learning.one_class_svm(w.filter("cls = 0"), features, size=128, rounds=2)
+    return learning.with_scores(w, model, features).select("pcap_id", "wnum", "cls", (F.col("decision") >= 0).alias("inside"))
+
+
+@query()
+def udf_scored_by_lstm(spark, d):
+    """Hosts scored by an LSTM with seeded weights; a test compares plain loops over its cells."""
+    return scoring.score_lstm(hosts(spark, d), scoring.Lstm.seeded(7)).select("page_id", "dn", "value", "logit")
