@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from nxtide.operators import service, windows
 from nxtide.operators.scratch import new_path as place
 from nxtide.plans.registry import query
-from nxtide.plans.star import FULL, NAMES, TRAFFIC, full_messages, names, table, traffic
+from nxtide.plans.star import FULL, NAMES, TRAFFIC, full_messages, names, seconds, table, traffic
+from nxtide.sources import readers
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'a \"quoted, name\"' ELSE c_name END AS name, c_acctbal FROM customer")
@@ -91,3 +92,45 @@ def agg37_kernel_density(spark, d):
 
     at = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 300.0).alias("at"))
     return kernel_density(table(spark, d, "customer"), "c_acctbal", at, 900.0).select("k", F.round("density", 9).alias("density"))
+
+
+@query("""SELECT epoch_us(ts) / 1e6 AS time_s, 'h"' || user_id AS src, 'a, b' AS dst, CAST(event_id AS BIGINT) AS fn_req, CAST(user_id % 5 AS INTEGER) AS qcode, event_type NOT IN ('view', 'click') AS is_r,
+  CASE event_type WHEN 'error' THEN 3 ELSE 0 END AS rcode, 'n' || user_id || '.com' AS dn, CASE WHEN user_id % 3 > 0 THEN 'r' || chr(10) || user_id END AS answer FROM events""")
+def src8_snk1_messages_csv(spark, d):
+    """Parsed messages written and read as the library's CSV, with quotes, separators, line breaks and nulls in values."""
+    path = place(spark) + "/csv"
+    e, user, none = table(spark, d, "events"), F.col("user_id").cast("string"), F.lit(0)
+    rows = e.select(
+        seconds("ts").alias("time"), none.alias("size"), F.lit("udp").alias("protocol"), F.concat(F.lit('h"'), user).alias("src"), F.lit("a, b").alias("dst"), F.when(F.col("event_type").isin("view", "click"), "q").otherwise("r").alias("qr"),
+        F.lit("").alias("AA"), F.when(F.col("event_type") == "error", 3).otherwise(0).alias("rcode"), F.col("event_id").alias("fnreq"), *(none.alias(c) for c in ("qdcount", "ancount", "nscount", "arcount")),
+        (F.col("user_id") % 5).cast("int").alias("qcode"), F.concat(F.lit("n"), user, F.lit(".com")).alias("dn"), F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("r\n"), user)).alias("answer"),
+    )
+    readers.write_csv(rows, path)
+    return readers.messages_of(readers.read_messages(spark, path))
+
+
+@query(f"WITH {TRAFFIC} SELECT pcap_id, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM x GROUP BY pcap_id")
+def snk2_snk3_append_messages(spark, d):
+    """Two appends of the library to one table by capture."""
+    path, rows = place(spark) + "/messages", traffic(spark, d)
+    for half in (0, 1):
+        readers.append_messages(rows.filter(F.col("dn_id") % 2 == half), path)
+    return spark.read.schema(rows.schema).parquet(path).groupBy("pcap_id").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+
+
+@query("SELECT p_partkey, p_name, sha256(p_name) AS sha256 FROM part")
+def src20_library_objects(spark, d):
+    """Objects written with their digests and read through the check of each."""
+    path = place(spark) + "/objects"
+    readers.write_objects(table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("name"), F.col("p_name").cast("binary").alias("data")), path)
+    return readers.read_objects(spark, path).select("p_partkey", F.col("data").cast("string").alias("p_name"), "sha256")
+
+
+@query("SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def src17_library_json(spark, d):
+    """Files of one JSON list each, over several lines, through the library's reader."""
+    path = place(spark) + "/json"
+    rows = table(spark, d, "events").select("event_id", "user_id", F.from_json("props", "k long")["k"].alias("k"))
+    lists = rows.groupBy((F.col("event_id") % 16).alias("part")).agg(F.collect_list(F.to_json(F.struct("event_id", "user_id", "k"))).alias("items"))
+    lists.select(F.concat(F.lit("[\n"), F.array_join("items", ",\n"), F.lit("\n]")).alias("value")).repartition(16).write.mode("append").text(path)
+    return service.read_json(spark, path, "event_id long, user_id long, k long")
