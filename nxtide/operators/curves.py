@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nxtide.operators.scratch import save
+
 #: Buckets of near equally many thresholds, each sorted by a task of its own.
 BUCKETS = 256
 
@@ -48,6 +50,7 @@ def roc(df: DataFrame, label: str, score: str, by: tuple = (), drop_intermediate
     With drop_intermediate, points on a straight line between their neighbours are left out.
     """
     counts = df.groupBy(*by, F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    counts = save(counts)  # bounds, sums and points are made of it: df is read once
     totals = _bounds(counts, by, ("p", "n"))
     totals = totals.dropna(subset=list(by)) if by else totals
     counts = _in_buckets(counts, totals, by)
@@ -68,7 +71,8 @@ def roc(df: DataFrame, label: str, score: str, by: tuple = (), drop_intermediate
 
 
 def _steps(points: DataFrame, by: tuple) -> DataFrame:
-    """points with the rates of the point before: _x0 and _y0."""
+    """points with the rates of the point before: _x0 and _y0. They are read for the bounds of buckets, for their ends and for themselves."""
+    points = save(points)
     return _with_neighbour(_bucketed(points, by), by, {"fpr": "_x0", "tpr": "_y0"})
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nxtide.functions.packets import positive
 from nxtide.operators import curves, slots, suffixes, windows
 from nxtide.operators import messages as msg
+from nxtide.operators.scratch import save
 from nxtide.plans.registry import query
 from nxtide.plans.relational import FILLED, GRID_SQL, HOUR, filled, grid, r6, series
 from nxtide.plans.star import CAPTURES, FULL, HOSTS, MESSAGES, NAMES, SCORES, TRAFFIC, captures, full_messages, hosts, messages, names, scores, table, traffic
@@ -142,7 +143,7 @@ OVERLAP = f"{FILLED}, hb AS (SELECT slot, pp FROM fs WHERE pcap_id = 0 AND slot
 
 def _overlap(spark, d):
     """All captures but the healthy one, number 0, at two thresholds."""
-    f = filled(spark, d)
+    f = save(filled(spark, d))
     healthy = f.filter("pcap_id = 0").select("slot", F.col("pp").alias("pos"))
     others = f.filter("pcap_id > 0").select("pcap_id", "slot", F.col("pn").alias("activity"), F.col("pp").alias("pos"))
     return slots.overlap_compare(healthy, others, scales=(0.5, 1.0), by=("pcap_id",))
@@ -174,7 +175,7 @@ def an18_roc(spark, d):
 
 @query(f"WITH {ROC} SELECT round((SELECT sum((fpr - x) * (tpr + y) / 2) FROM (SELECT *, lag(fpr) OVER (ORDER BY threshold DESC) AS x, lag(tpr) OVER (ORDER BY threshold DESC) AS y FROM ro)), 6) AS auc, (SELECT threshold FROM ro ORDER BY round(tpr - fpr, 12) DESC, threshold DESC LIMIT 1) AS best")
 def an18_auc_and_optimum(spark, d):
-    p = _points(spark, d)
+    p = save(_points(spark, d))
     best = curves.best_threshold(p).select(F.when(F.col("threshold") == float("inf"), 1e9).otherwise(F.col("threshold")).alias("best"))
     return curves.auc(p).select(r6("auc").alias("auc")).crossJoin(best)
 
