@@ -123,9 +123,11 @@ def an8_metrics(spark, d):
     return windows.metrics(found).drop("cfg").withColumns({c: r6(c) for c in ("fbeta", "fpr", "tpr")})
 
 
-@query(f"WITH {GRID_SQL}, q AS (SELECT *, (cfg * 37) % 11 AS v FROM g) SELECT parameter, setting, least, most, round(mean, 6) AS mean, n FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS parameter, CAST({c} AS VARCHAR) AS setting, min(v) AS least, max(v) AS most, avg(v) AS mean, count(*) AS n FROM q WHERE v <> 0 GROUP BY {c}" for p, c in (("wl_rank", "wl_rank"), ("packet", "packet"))) + ")")
+@query(f"WITH {FULL}, w AS (SELECT pcap_id, fn_req // 50 AS wnum, dn_id, max(rank_dn) AS rank FROM m GROUP BY ALL), {GRID_SQL}, q AS (SELECT cfg, wl_rank, packet, count(*) FILTER (WHERE rank > 0 AND rank < wl_rank) AS v FROM w, g GROUP BY ALL) SELECT parameter, setting, least, most, round(mean, 6) AS mean, n FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS parameter, CAST({c} AS VARCHAR) AS setting, min(v) AS least, max(v) AS most, avg(v) AS mean, count(*) AS n FROM q WHERE v <> 0 GROUP BY {c}" for p, c in (("wl_rank", "wl_rank"), ("packet", "packet"))) + ")")
 def agg30_marginals(spark, d):
-    scored = grid(spark).withColumn("v", F.col("cfg") * 37 % 11)
+    """Marginals of the names on the whitelist in the windows of each configuration."""
+    listed = windows.apply_configs(full_messages(spark, d), grid(spark)).groupBy("cfg").agg(F.sum("listed").alias("v"))
+    scored = grid(spark).join(listed, "cfg")
     return windows.marginals(scored, ["wl_rank", "packet"], "v").withColumn("mean", r6("mean"))
 
 

@@ -50,11 +50,17 @@ def joi8_scores_to_messages(spark, d):
     return counted.join(s, "dn_id").groupBy("pcap_id").agg(r6(F.sum(F.col("n") * F.col("fiftieths")) / (50.0 * F.sum("n"))).alias("mean"))
 
 
-@query("SELECT p, s, t FROM (SELECT unnest(['nx', 'q']) AS p), (SELECT unnest([600, 3600]) AS s), (SELECT unnest([CAST(0.5 AS DOUBLE), 0.9]) AS t)")
+@query(f"WITH {FULL}, u AS (SELECT pcap_id, is_r, rcode, eps1, t AS moment FROM m) SELECT p, s, k.t, count(DISTINCT (pcap_id, CAST(floor(moment / s) AS BIGINT))) AS slots, count(*) AS n FROM u, (SELECT unnest(['nx', 'q']) AS p), (SELECT unnest([600, 3600]) AS s), (SELECT unnest([CAST(0.1 AS DOUBLE), 0.3]) AS t) k WHERE (CASE p WHEN 'q' THEN NOT is_r ELSE is_r AND rcode = 3 END) AND eps1 > k.t GROUP BY p, s, k.t")
 def joi12_combinations(spark, d):
+    """Slots and messages of each combination of packet type, slot size and threshold."""
     from itertools import product
 
-    return spark.createDataFrame(list(product(["nx", "q"], [600, 3600], [0.5, 0.9])), "p string, s int, t double")
+    combinations = spark.createDataFrame(list(product(["nx", "q"], [600, 3600], [0.1, 0.3])), "p string, s int, t double")  # eight rows
+    m = msg.with_translated_time(messages(spark, d)).crossJoin(F.broadcast(combinations))
+    met = m.filter(F.when(F.col("p") == "q", ~F.col("is_r")).otherwise(F.col("is_r") & (F.col("rcode") == 3)) & (F.col("eps1") > F.col("t")))
+    # two levels: no count of distinct values over rows
+    by_slot = met.groupBy("p", "s", "t", "pcap_id", F.floor(F.col("time_s_translated") / F.col("s")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    return by_slot.groupBy("p", "s", "t").agg(F.count(F.lit(1)).alias("slots"), F.sum("n").alias("n"))
 
 
 @query(f"WITH {CAPTURES} SELECT c.malware_id, bool_and(dga = n_regionkey % 3) AS same FROM c JOIN nation ON malware_id = n_nationkey GROUP BY c.malware_id")
@@ -261,11 +267,14 @@ def an24_rule_sweep(spark, d):
     return most.crossJoin(rules).filter("most >= rule").groupBy("rule").agg(F.count(F.lit(1)).alias("captures"))
 
 
-@query("SELECT fp, round(sum(exp(-power(fp - 3, 2) / 2) / 2.5066282746310002 * exp(-power(tp - 5, 2) / 2) / 2.5066282746310002) / 100, 6) AS p FROM (SELECT i / 10.0::DOUBLE AS fp FROM range(100) t(i)), (SELECT i / 10.0::DOUBLE AS tp FROM range(100) t(i)) WHERE fp + tp > 8 GROUP BY fp")
+@query(f"WITH {SERIES}, mu AS (SELECT avg(pp) FILTER (WHERE pcap_id = 0) AS f, avg(pp) FILTER (WHERE pcap_id > 0) AS t FROM hs) SELECT fp, round(sum(exp(-power(fp - f, 2) / 2) / 2.5066282746310002 * exp(-power(tp - t, 2) / 2) / 2.5066282746310002) / 100, 6) AS p FROM mu, (SELECT i / 10.0::DOUBLE AS fp FROM range(100) t(i)), (SELECT i / 10.0::DOUBLE AS tp FROM range(100) t(i)) WHERE fp + tp > f + t GROUP BY fp")
 def an32_density_grid(spark, d):
-    grid = spark.range(100).select((F.col("id") / 10.0).alias("fp")).crossJoin(F.broadcast(spark.range(100).select((F.col("id") / 10.0).alias("tp"))))
-    density = lambda c, m: F.exp(-F.pow(F.col(c) - m, F.lit(2)) / 2) / F.lit(2.5066282746310002)
-    return grid.filter(F.col("fp") + F.col("tp") > 8).groupBy("fp").agg(r6(F.sum(density("fp", 3.0) * density("tp", 5.0)) / 100).alias("p"))
+    """The joint density of healthy and malware counts around the means of the captures' slots, where both together are over the sum of the means."""
+    mean = lambda c: F.avg(F.when(c, F.col("pp")))
+    means = series(spark, d).agg(mean(F.col("pcap_id") == 0).alias("f"), mean(F.col("pcap_id") > 0).alias("t"))  # one row
+    grid = spark.range(100).select((F.col("id") / 10.0).alias("fp")).crossJoin(F.broadcast(spark.range(100).select((F.col("id") / 10.0).alias("tp")))).crossJoin(F.broadcast(means))
+    density = lambda c, m: F.exp(-F.pow(F.col(c) - F.col(m), F.lit(2)) / 2) / F.lit(2.5066282746310002)
+    return grid.filter(F.col("fp") + F.col("tp") > F.col("f") + F.col("t")).groupBy("fp").agg(r6(F.sum(density("fp", "f") * density("tp", "t")) / 100).alias("p"))
 
 
 @query()
