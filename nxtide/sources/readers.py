@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.udtf import UserDefinedTableFunction
@@ -12,6 +12,8 @@ from pyspark.sql.udtf import UserDefinedTableFunction
 from nxtide.sources.headed import read_headed
 
 RAW_MESSAGE = "time double, size int, protocol string, src string, dst string, qr string, AA string, rcode int, fnreq long, qdcount int, ancount int, nscount int, arcount int, qcode int, dn string, answer string"
+#: Folders of a table of messages, among which captures are dealt.
+CAPTURE_PARTS = 64
 CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
 
 
@@ -23,10 +25,20 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.options(header=True, quote='"', escape='"', escapeQuotes=True).mode("overwrite").csv(path)
 
 
+def capture_part(pcap_id: Column) -> Column:
+    """Which of the parts of append_messages() a capture lies in: a reader of one capture filters by `pcap_part` too."""
+    return F.pmod(F.xxhash64(pcap_id.cast("string")), F.lit(CAPTURE_PARTS))
+
+
 def append_messages(df: DataFrame, path: str) -> None:
-    """Appends to a table partitioned by capture; rows are dealt by capture and a salt, so that a large one is written by several tasks."""
-    salted = df.repartition("pcap_id", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
-    salted.write.mode("append").partitionBy("pcap_id").parquet(path)
+    """Appends to a table partitioned by capture_part() of the captures, in which a capture's rows lie together.
+
+    Rows are dealt by part and a salt of 8, so that a large capture is written by several tasks: an append makes 8 * CAPTURE_PARTS files at most, however many
+    captures there are.
+    """
+    placed = df.withColumn("pcap_part", capture_part(F.col("pcap_id")))
+    salted = placed.repartition("pcap_part", F.pmod(F.xxhash64(*df.columns), F.lit(8))).sortWithinPartitions("pcap_part", "pcap_id")
+    salted.write.mode("append").partitionBy("pcap_part").parquet(path)
 
 
 def messages_of(raw: DataFrame) -> DataFrame:

@@ -77,6 +77,17 @@ def test_message_csv(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).filter("pcap_id = 5").count() == 1
 
 
+def test_appends_of_many_captures_make_few_files(spark, tmp_path):
+    rows = spark.range(6000).select(F.col("id").alias("dn_id"), F.when(F.col("id") > 0, F.col("id") % 2000).alias("pcap_id"))
+    for _ in range(2):
+        readers.append_messages(rows, str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) <= 2 * 8 * readers.CAPTURE_PARTS
+    assert sorted(map(str, back.select("dn_id", "pcap_id").collect())) == sorted(2 * list(map(str, rows.collect())))
+    own = back.filter((F.col("pcap_part") == readers.capture_part(F.lit(5))) & (F.col("pcap_id") == 5))
+    assert sorted(r["dn_id"] for r in own.collect()) == [5, 5, 2005, 2005, 4005, 4005]
+
+
 def test_archive_lists_tables_objects(spark, tmp_path):
     (tmp_path / "3.csv").write_text("a.com,1,fam_dga_ff\n")
     (tmp_path / "5.csv").write_text("b.com,2,2020-01-01 00:00:00,bad,other\n")
