@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nxtide.operators import windows
+from nxtide.operators.scratch import save
 from nxtide.plans.registry import query
 from nxtide.plans.relational import GRID_SQL, grid
 from nxtide.plans.star import FULL, full_messages
@@ -22,9 +23,12 @@ APPLIED = (
 
 
 def _applied(spark, d):
-    """Windows under each configuration; a capture's class and day are those of its number."""
+    """Windows under each configuration, as a table; a capture's class and day are those of its number.
+
+    They are made once: sums of another run can differ in their last bit, and then a window is not at the bound that it sets itself.
+    """
     out = windows.apply_configs(full_messages(spark, d), grid(spark))
-    return out.withColumn("cls", F.col("pcap_id") % 3).withColumn("day", F.col("pcap_id") % 7)
+    return save(out.select("cfg", (F.col("pcap_id") % 3).alias("cls"), (F.col("pcap_id") % 7).alias("day"), "llr", *(f"dn_bad_{z}" for z in range(5))))
 
 
 def _zones(spark, d, by):
