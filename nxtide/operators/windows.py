@@ -53,45 +53,82 @@ def multiplier(unique: Column, packet: Column) -> Column:
     return F.when(unique, F.lit(1)).when(packet == "q", F.col("q")).when(packet == "r", F.col("r")).otherwise(F.col("qr"))
 
 
+def _by_window(rows: DataFrame) -> DataFrame:
+    """rows with all of a window in one partition, so that what is added up by window and parameter isn't shuffled: it is larger than the rows."""
+    return rows.repartition("pcap_id", "wnum")
+
+
+def _logit(score: Column) -> Column:
+    """The logit of a score between 0 and 1, else null."""
+    return F.when((score > 0) & (score < 1), F.ln(score / (1 - score)))
+
+
+def _summed(met: DataFrame, keys: list[str], more: bool = False) -> DataFrame:
+    """(pcap_id, wnum, keys, sums): what configurations with the same keys share.
+
+    met: (pcap_id, wnum, keys, _kind, _times, _logit, _zone, n). A row counts _times for its _logit (kind 3), or for the value that a configuration has for
+    listed names (0), scores of 1 or more (1) and of 0 or less (2). With `more`, _more is added once for each row.
+    """
+    total = lambda c, x: F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0))
+    kind = F.col("_kind")
+    sums = [F.sum(F.when(kind == 3, F.col("_logit") * F.col("_times"))).alias("_in"), *(F.sum(F.when(kind == i, F.col("_times"))).alias(f"_times_{i}") for i in range(3))]
+    sums += [F.sum(F.when(kind == i, F.col("_more"))).alias(f"_more_{i}") for i in range(4)] if more else []
+    bad = [total(F.col("_zone") == z, "_times").alias(f"dn_bad_{z}") for z in range(len(ZONES) - 1)]
+    return met.groupBy("pcap_id", "wnum", *keys).agg(*sums, total(kind == 0, "n").alias("listed"), F.sum("n").cast("long").alias("wcount"), *bad)
+
+
+def _kind(listed: Column, score: Column) -> Column:
+    return F.when(listed, 0).when(score >= 1, 1).when(score <= 0, 2).when(score.isNotNull(), 3)
+
+
+def _configured(sums: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
+    """_summed() under each configuration of the grid, which is small and broadcast. A value that is null leaves its rows out."""
+    values = ("wl_value", "pinf", "ninf")
+    own = grid.select("cfg", *(F.col(k).alias(f"_key_{k}") for k in keys), *(F.col(v).alias(f"_value_{i}") for i, v in enumerate(values)))
+    met = sums.join(F.broadcast(own), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys)))
+    parts = [F.col(f"_value_{i}") * F.col(f"_times_{i}") for i in range(3)] + [F.col("_in")]
+    parts = [p + F.col(f"_more_{i}") for i, p in enumerate(parts)] if "_more_0" in sums.columns else parts
+    llr = F.when(F.coalesce(*parts).isNotNull(), reduce(lambda a, b: a + b, (F.coalesce(p, F.lit(0.0)) for p in parts)))
+    return met.select("pcap_id", "wnum", "cfg", llr.alias("llr"), "listed", "wcount", *(f"dn_bad_{z}" for z in range(len(ZONES) - 1)))
+
+
 def apply_configs(messages: DataFrame, grid: DataFrame, size: int = 50, model: int = 1) -> DataFrame:
     """(pcap_id, wnum, cfg, llr, listed, wcount, dn_bad_0 to dn_bad_4): each window under each configuration, by its names.
 
     llr: the log-likelihood sum; listed: names on the whitelist; wcount: names; dn_bad: what counts in each zone of the score.
 
-    Messages are added up by window and name before they meet the grid, which is small and
-    broadcast; partial sums then leave one row for each window and configuration of a task.
-    The grid has columns ninf, pinf, wl_rank, wl_value, unique and packet, and may have nx_inc.
+    Names are added up by window for each of the grid's whitelist lengths and ways to count, and these sums meet the grid, which is
+    small and broadcast: it has columns ninf, pinf, wl_rank, wl_value, unique and packet, and may have nx_inc.
     """
     names = messages.withColumn("wnum", F.expr(f"fn_req div {size}")).groupBy("pcap_id", "wnum", "dn_id").agg(
         F.count(F.lit(1)).alias("qr"), *(F.count_if(packet_predicate(p)).alias(p) for p in ("q", "r", "nx")), F.max(f"eps{model}").alias("eps"), F.max("rank_dn").alias("rank")
     )
-    met = names.crossJoin(F.broadcast(grid))
-    listed = (F.col("rank") > 0) & (F.col("rank") < F.col("wl_rank"))
-    e = F.col("eps")
-    value = F.when(F.coalesce(listed, F.lit(False)), F.col("wl_value")).when(e >= 1, F.col("pinf")).when(e <= 0, F.col("ninf")).otherwise(F.ln(e / (1 - e)))
-    more = F.col("nx") * F.col("nx_inc") if "nx_inc" in grid.columns else F.lit(0.0)
-    times = multiplier(F.col("unique"), F.col("packet"))
-    bad = [F.coalesce(F.sum(F.when(zone(e) == z, times)), F.lit(0)).alias(f"dn_bad_{z}") for z in range(len(ZONES) - 1)]
-    return met.groupBy("pcap_id", "wnum", "cfg").agg(F.sum(value * times + more).alias("llr"), F.count_if(F.coalesce(listed, F.lit(False))).alias("listed"), F.count(F.lit(1)).alias("wcount"), *bad)
+    keys = ["wl_rank", "unique", "packet", *(["nx_inc"] if "nx_inc" in grid.columns else [])]
+    e, more = F.col("eps"), "nx_inc" in keys
+    told = _by_window(names).select("*", _logit(e).alias("_logit"), zone(e).alias("_zone"), F.lit(1).alias("n"))
+    met = told.crossJoin(F.broadcast(grid.select(*keys).distinct()))
+    listed = F.coalesce((F.col("rank") > 0) & (F.col("rank") < F.col("wl_rank")), F.lit(False))
+    met = met.withColumns({"_kind": _kind(listed, e), "_times": multiplier(F.col("unique"), F.col("packet")), **({"_more": F.col("nx") * F.col("nx_inc")} if more else {})})
+    return _configured(_summed(met, keys, more), grid, keys)
 
 
 def apply_configs_to_messages(messages: DataFrame, grid: DataFrame, size: int = 50, model: int = 1) -> DataFrame:
     """As apply_configs(), by messages: those of the configuration's packet type count one by one.
 
     An NX response has nx_inc added to its score (1 at most) before its logit; a whitelisted name counts in the zone of 0. Messages that
-    are alike in all that matters are added up before they meet the grid, which is small and broadcast.
+    are alike in all that matters are added up first.
     """
-    alike = messages.withColumn("wnum", F.expr(f"fn_req div {size}")).groupBy("pcap_id", "wnum", F.col(f"eps{model}").alias("eps"), F.col("rank_dn").alias("rank"), "is_r", (F.col("rcode") == 3).alias("nx"))
-    met = alike.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(grid))
+    alike = messages.withColumn("wnum", F.expr(f"fn_req div {size}")).groupBy("pcap_id", "wnum", F.col(f"eps{model}").alias("eps"), F.col("rank_dn").alias("rank"), "is_r", (F.col("rcode") == 3).alias("nx")).agg(F.count(F.lit(1)).alias("n"))
+    keys = ["wl_rank", "packet", *(["nx_inc"] if "nx_inc" in grid.columns else [])]
+    met = _by_window(alike).crossJoin(F.broadcast(grid.select(*keys).distinct()))
     met = met.filter((F.col("packet") == "qr") | ((F.col("packet") == "r") == F.col("is_r")))
     listed = F.coalesce((F.col("rank") > 0) & (F.col("rank") < F.col("wl_rank")), F.lit(False))
-    more = F.when(F.col("nx"), F.col("nx_inc")).otherwise(0.0) if "nx_inc" in grid.columns else F.lit(0.0)
-    met = met.withColumn("_listed", listed).withColumn("_score", F.least(F.col("eps") + more, F.lit(1.0)))
-    s, n = F.col("_score"), F.col("n")
-    value = F.when(F.col("_listed"), F.col("wl_value")).when(s >= 1, F.col("pinf")).when(s <= 0, F.col("ninf")).otherwise(F.ln(s / (1 - s)))
-    place = zone(F.when(F.col("_listed"), 0.0).otherwise(s))
-    bad = [F.coalesce(F.sum(F.when(place == z, n)), F.lit(0)).alias(f"dn_bad_{z}") for z in range(len(ZONES) - 1)]
-    return met.groupBy("pcap_id", "wnum", "cfg").agg(F.sum(value * n).alias("llr"), F.coalesce(F.sum(F.when(F.col("_listed"), n)), F.lit(0)).alias("listed"), F.sum("n").alias("wcount"), *bad)
+    more = F.when(F.col("nx"), F.col("nx_inc")).otherwise(0.0) if "nx_inc" in keys else F.lit(0.0)
+    score = F.least(F.col("eps") + more, F.lit(1.0))
+    met = met.withColumns({"_listed": listed, "_score": score})
+    s, listed = F.col("_score"), F.col("_listed")
+    met = met.withColumns({"_kind": _kind(listed, s), "_times": F.col("n"), "_logit": _logit(s), "_zone": zone(F.when(listed, 0.0).otherwise(s))})
+    return _configured(_summed(met, keys), grid, keys)
 
 
 def detect_zones(applied: DataFrame, limits: DataFrame, by: tuple = ("cfg", "cls", "day")) -> DataFrame:
