@@ -58,6 +58,11 @@ def _by_window(rows: DataFrame) -> DataFrame:
     return rows.repartition("pcap_id", "wnum")
 
 
+def exact_sum(value: Column) -> Column:
+    """The sum of finite doubles, added up as decimals of 18 places: the same in any order, so that windows that hold the same tie at a bound, in any run."""
+    return F.sum(value.cast("decimal(38,18)")).cast("double")
+
+
 def _logit(score: Column) -> Column:
     """The logit of a score between 0 and 1, else null."""
     return F.when((score > 0) & (score < 1), F.ln(score / (1 - score)))
@@ -67,12 +72,12 @@ def _summed(met: DataFrame, keys: list[str], more: bool = False) -> DataFrame:
     """(pcap_id, wnum, keys, sums): what configurations with the same keys share.
 
     met: (pcap_id, wnum, keys, _kind, _times, _logit, _zone, n). A row counts _times for its _logit (kind 3), or for the value that a configuration has for
-    listed names (0), scores of 1 or more (1) and of 0 or less (2). With `more`, _more is added once for each row.
+    listed names (0), scores of 1 or more (1) and of 0 or less (2). With `more`, nx times the key nx_inc is added for each row.
     """
     total = lambda c, x: F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0))
     kind = F.col("_kind")
-    sums = [F.sum(F.when(kind == 3, F.col("_logit") * F.col("_times"))).alias("_in"), *(F.sum(F.when(kind == i, F.col("_times"))).alias(f"_times_{i}") for i in range(3))]
-    sums += [F.sum(F.when(kind == i, F.col("_more"))).alias(f"_more_{i}") for i in range(4)] if more else []
+    sums = [exact_sum(F.when(kind == 3, F.col("_logit") * F.col("_times"))).alias("_in"), *(F.sum(F.when(kind == i, F.col("_times"))).alias(f"_times_{i}") for i in range(3))]
+    sums += [(F.sum(F.when(kind == i, F.col("nx"))) * F.col("nx_inc")).alias(f"_more_{i}") for i in range(4)] if more else []
     bad = [total(F.col("_zone") == z, "_times").alias(f"dn_bad_{z}") for z in range(len(ZONES) - 1)]
     return met.groupBy("pcap_id", "wnum", *keys).agg(*sums, total(kind == 0, "n").alias("listed"), F.sum("n").cast("long").alias("wcount"), *bad)
 
@@ -108,7 +113,7 @@ def apply_configs(messages: DataFrame, grid: DataFrame, size: int = 50, model: i
     told = _by_window(names).select("*", _logit(e).alias("_logit"), zone(e).alias("_zone"), F.lit(1).alias("n"))
     met = told.crossJoin(F.broadcast(grid.select(*keys).distinct()))
     listed = F.coalesce((F.col("rank") > 0) & (F.col("rank") < F.col("wl_rank")), F.lit(False))
-    met = met.withColumns({"_kind": _kind(listed, e), "_times": multiplier(F.col("unique"), F.col("packet")), **({"_more": F.col("nx") * F.col("nx_inc")} if more else {})})
+    met = met.withColumns({"_kind": _kind(listed, e), "_times": multiplier(F.col("unique"), F.col("packet"))})
     return _configured(_summed(met, keys, more), grid, keys)
 
 
@@ -211,7 +216,7 @@ def marginals(scores: DataFrame, parameters: list[str], value: str) -> DataFrame
 def window_logits(messages: DataFrame, size: int = 50, model: int = 1) -> DataFrame:
     """(pcap_id, wnum, llr): the sum of logits of a window's distinct names."""
     names = messages.withColumn("wnum", F.expr(f"fn_req div {size}")).groupBy("pcap_id", "wnum", "dn_id").agg(F.max(f"eps{model}").alias("eps"))
-    return names.groupBy("pcap_id", "wnum").agg(F.sum(logit(F.col("eps"), NINF, PINF)).alias("llr"))
+    return names.groupBy("pcap_id", "wnum").agg(exact_sum(logit(F.col("eps"), NINF, PINF)).alias("llr"))
 
 
 def zone_counts(messages: DataFrame, by: tuple, model: int) -> DataFrame:

@@ -3,9 +3,10 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from nxtide.operators import windows
-from nxtide.plans import zones
+from nxtide.plans import detection, zones
 from nxtide.plans.relational import grid
 from nxtide.plans.star import full_messages
 
@@ -18,6 +19,26 @@ def test_bounds_come_of_the_sums_that_they_bound(spark, tiny):
     assert below.agg({"llr": "sum"}).first()[0] == 0
 
 
+@pytest.mark.parametrize("make", [windows.apply_configs, windows.apply_configs_to_messages])
+@pytest.mark.parametrize("inc", [None, 0.1])
+def test_windows_that_hold_the_same_tie(spark, make, inc):
+    rows = [(p, 1000 * p + k, 0, v % 3 > 0, 3 if v % 7 > 3 else 0, v / 103, None) for p in range(20) for k in range(101) for v in [k * (p + 1) % 101]]
+    m = spark.createDataFrame(rows, "pcap_id long, dn_id long, fn_req long, is_r boolean, rcode int, eps1 double, rank_dn long").repartition(7)
+    g = grid(spark) if inc is None else grid(spark).withColumn("nx_inc", F.lit(inc))
+    values = make(m, g).groupBy("cfg").agg(F.count_distinct("llr").alias("n"), F.count("llr").alias("windows")).collect()
+    assert len(values) == 96 and {(r["n"], r["windows"]) for r in values} == {(1, 20)}
+
+
+def test_zones_of_captures_that_hold_the_same(spark, tmp_path):
+    """A window of each capture has the same names' scores in another order: none is below the bound that all of them set."""
+    rows = [(100 * k + p, 10 * (7 + k) + p, "view" if v % 2 else "error", float(v)) for p in range(10) for k in range(97) for v in [1 + k * (2 * p + 3) % 97]]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+    events.withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id)")).repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    found = zones.snk15_detection_table(spark, str(tmp_path)).collect()
+    assert len(found) == 288 and {(r["cls"], r["llr_0"], r["llr_2"]) for r in found} == {(0, 0, 4), (1, 0, 3), (2, 0, 3)}
+    assert {tuple(r) for r in detection.an5_llr_zones(spark, str(tmp_path)).collect()} == {(0, 2, 4), (1, 2, 3), (2, 2, 3)}
+
+
 @pytest.mark.parametrize("make", [windows.apply_configs, windows.apply_configs_to_messages])
 def test_nothing_is_shuffled_by_configuration(spark, tiny, make):
     plan = make(full_messages(spark, tiny), grid(spark))._jdf.queryExecution().executedPlan().toString()
